@@ -1,0 +1,46 @@
+"""The few rules Spark has no expression for, as Arrow-batched functions over single values."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+_NOT_WORD = re.compile(r"[^\w\s]")
+
+
+@F.pandas_udf("string")
+def ascii_norm(texts: pd.Series) -> pd.Series:
+    """Lower case, accents removed, other non-ASCII dropped, no punctuation, single blanks."""
+    def one(t):
+        if t is None:
+            return None
+        flat = unicodedata.normalize("NFKD", t.lower().strip()).encode("ascii", "ignore").decode("ascii")
+        return " ".join(_NOT_WORD.sub("", flat).split())
+
+    return texts.map(one)
+
+
+def _common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with one machine-integer row per character of ``b``."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        u = row & where.get(ch, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf("double")
+def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """100 * (1 - insertions and deletions / total length)."""
+    def one(a, b):
+        total = len(a) + len(b)
+        return 100.0 if total == 0 else 100.0 * 2 * _common_subsequence(a, b) / total
+
+    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
