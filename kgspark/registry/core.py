@@ -41,7 +41,7 @@ CTES = {
     "a_entities": """select qid, row_number() over (partition by qid order by entity) pos, entity from (
   select distinct l_orderkey qid, r_name entity from lineitem join supplier on l_suppkey = s_suppkey
   join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) x""",
-    "chains": """select * from (values
+    "chains": """select cast(path_id as bigint) path_id, path from (values
   (0, 'order.order.supplier -> supplier.supplier.nation -> nation.nation.region'),
   (1, 'order.order.customer -> customer.customer.nation -> nation.nation.region'),
   (2, 'order.order.supplier -> supplier.supplier.nation'),
