@@ -11,6 +11,11 @@ PATH_TYPE = "struct<full_path:string,relation_chain:string,entities:array<string
 SEP = " -> "
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` refers to it inside loops over arrays."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
     return F.btrim(c, F.lit(C.WHITESPACE))

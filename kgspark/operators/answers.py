@@ -71,8 +71,9 @@ def answer_f1_bag(preds: DataFrame, gold: DataFrame) -> DataFrame:
     n = lambda c: S.norm_answer(F.col(c), keep_articles=True)
     m = _pairs(preds.withColumn("answer", n("answer")), gold.withColumn("entity", n("entity")))
     m = m.filter(F.contains("answer", F.col("entity")) | F.contains("entity", F.col("answer")))
-    a, b = S.words(F.col("answer")), S.words(F.col("entity"))
-    m = m.withColumn("same", _bag_overlap(a, b)).withColumn("na", F.size(a)).withColumn("nb", F.size(b))
+    m = m.withColumn("wa", S.words(F.col("answer"))).withColumn("wb", S.words(F.col("entity")))
+    same = S.let(F.col("wa"), lambda a: S.let(F.col("wb"), lambda b: _bag_overlap(a, b)))
+    m = m.withColumn("same", same).withColumn("na", F.size("wa")).withColumn("nb", F.size("wb"))
     pr, rc = F.col("same") / F.col("na"), F.col("same") / F.col("nb")
     f1 = F.when(F.col("answer") == F.col("entity"), F.lit(1.0)).when(F.col("same") > 0, 2.0 * pr * rc / (pr + rc)).otherwise(F.lit(0.0))
     per = m.groupBy("qid").agg(F.max(f1).alias("f1"))

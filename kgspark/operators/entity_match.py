@@ -70,9 +70,9 @@ def resolve_entity(names: DataFrame, triples: DataFrame) -> DataFrame:
 
 def dictionary_hits(text: Column, entries: dict[str, str]) -> Column:
     """Entities whose key occurs in the lower-cased text, as an array. The dictionary is part of the expression."""
-    low = F.lower(text)
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in entries.items()])
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(low, p["k"])), lambda p: p["v"]))
+    hits = S.let(F.lower(text), lambda low: F.filter(pairs, lambda p: F.contains(low, p["k"])))
+    return F.array_distinct(F.transform(hits, lambda p: p["v"]))
 
 
 def keyword_dictionary_match(questions: DataFrame, entries: dict[str, str]) -> DataFrame:
@@ -87,12 +87,17 @@ def vocab_candidates(vocab: DataFrame, token: str = "token") -> DataFrame:
 
 def question_phrases(text: Column) -> Column:
     """Runs of two to four words of the lower-cased text, and single words longer than two that are no stop words."""
-    w = S.words(F.lower(text))
-    n = F.size(w)
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(w, i, k), " "))
-                   ).otherwise(F.array().cast("array<string>")) for k in (4, 3, 2)]
-    single = F.filter(w, lambda x: (F.length(x) > 2) & ~x.isin(C.STOP_WORDS_FAST))
-    return F.array_distinct(F.concat(*runs, single))
+    def phrases(w):
+        n = F.size(w)
+
+        def runs(k):
+            cut = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+            return F.when(n >= k, cut).otherwise(F.array().cast("array<string>"))
+
+        single = F.filter(w, lambda x: (F.length(x) > 2) & ~x.isin(C.STOP_WORDS_FAST))
+        return F.concat(runs(4), runs(3), runs(2), single)
+
+    return F.array_distinct(S.let(S.words(F.lower(text)), phrases))
 
 
 def phrase_lookup(questions: DataFrame, vocab: DataFrame) -> DataFrame:

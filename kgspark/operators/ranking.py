@@ -112,8 +112,8 @@ def frequency_boost(ranked: DataFrame, frequency: DataFrame, k: int) -> DataFram
 def keyword_boost(ranked: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
     """Among the best 2k, each ``keywords(qid, words)`` entry found in the path adds 0.1."""
     pool = top_k(ranked, 2 * k).join(keywords.select("qid", "words"), "qid", "left")
-    low = F.lower("path")
-    hits = F.size(F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.contains(low, F.lower(w))))
+    given = F.coalesce("words", F.array().cast("array<string>"))
+    hits = S.let(F.lower("path"), lambda low: F.size(F.filter(given, lambda w: F.contains(low, F.lower(w)))))
     return top_k(pool.withColumn("score", F.round(F.col("score") + 0.1 * hits, 12)), k).select(*ranked.columns)
 
 

@@ -184,10 +184,11 @@ def retrieve_with_fallbacks(questions: DataFrame, topics: DataFrame, preds: Data
 
 def one_hop_triggers(question: Column) -> Column:
     """Relation words that the wording of the question calls for."""
-    low = F.lower(question)
-    rules = [F.when(F.exists(F.array(*[F.lit(w) for w in cues]), lambda w: F.contains(low, w)), F.lit(rel))
-             for cues, rel in C.ONE_HOP_TRIGGERS]
-    return F.filter(F.array(*rules), lambda r: r.isNotNull())
+    def rules(low):
+        hit = lambda cues: F.exists(F.array(*[F.lit(w) for w in cues]), lambda w: F.contains(low, w))
+        return F.filter(F.array(*[F.when(hit(cues), F.lit(rel)) for cues, rel in C.ONE_HOP_TRIGGERS]), lambda r: r.isNotNull())
+
+    return S.let(F.lower(question), rules)
 
 
 def one_hop_keyword_fallback(questions: DataFrame, topics: DataFrame, found: DataFrame, triples: DataFrame,
