@@ -12,4 +12,4 @@ def load_all():
     return dict(core.QUERIES), dict(core.ORACLES)
 
 
-TOPICS = ["graph", "lists", "texts"]
+TOPICS = ["graph", "lists", "texts", "tables"]
