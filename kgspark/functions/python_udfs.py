@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-# workers get these functions by value, so the package need not be installed on executors
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _NOT_WORD = re.compile(r"[^\w\s]")
 

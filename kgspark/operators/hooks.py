@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def score_pairs(ranked: DataFrame, fn: Callable, batch: int = 32, query: str = "question", doc: str = "path") -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from .filters import filter_by_relations, hop_filter, is_machine_id, min_score
 from .numbering import first_per, top_per
 from .traversal import follow_path_flexible, one_hop_keyword_fallback
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BROADCAST_ROWS = 200_000  # query terms up to this many rows are sent to every task; more are joined by shuffle
 ROWS_PER_PART = 1_000_000  # postings of one term are split into parts of about this size
@@ -180,7 +177,8 @@ def dense_search_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int =
                       for i, m in enumerate(model.clusterCenters())])
     score = lambda s: F.aggregate(F.zip_with("vec", s["m"], lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v) * -2.0 + s["n"]
     near = F.slice(F.array_sort(F.transform(cents, lambda s: F.struct(score(s).alias("d"), s["cluster"].alias("cluster")))), 1, nprobe)
-    q = queries.select(F.col("qid").cast("bigint").alias("qid"), fl(), F.explode(F.transform(near, lambda s: s["cluster"])).alias("cluster"))
+    q = queries.select("qid", "vec", F.transform(near, lambda s: s["cluster"]).alias("probes"))
+    q = q.select(F.col("qid").cast("bigint").alias("qid"), fl(), F.explode("probes").alias("cluster"))
     q = q.join(F.broadcast(parts), "cluster").select("qid", "vec", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
     return _search_cells(q.select((F.col("cluster") * width + F.col("p")).alias("cell"), "qid", "vec"), c, k)
 

@@ -326,16 +326,16 @@ def bm25_docs(s, d, k, **kw):
     return J.bm25_search(doc_questions(s, d), J.bm25_index(doc_corpus(s, d), "split", **kw), k, "split")
 
 
-@query("bm25_search", f"with {_BM} select qid, k as rank, round(score, 6) score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 20")
+@query("bm25_search", f"with {_BM} select qid, k as rank, score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 20")
 def _(s, d):
-    return big(bm25_docs(s, d, 20)).withColumn("score", F.round("score", 6))
+    return big(bm25_docs(s, d, 20))
 
 
-@query("bm25_search_shuffled", f"with {_BM} select qid, k as rank, round(score, 6) score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 20")
+@query("bm25_search_shuffled", f"with {_BM} select qid, k as rank, score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 20")
 def _(s, d):
     """The way beyond the broadcast limit, with frequent terms split into parts."""
     index = J.bm25_index(doc_corpus(s, d), "split", rows_per_part=100)
-    return big(J.bm25_search(doc_questions(s, d), index, 20, "split", broadcast_rows=0)).withColumn("score", F.round("score", 6))
+    return big(J.bm25_search(doc_questions(s, d), index, 20, "split", broadcast_rows=0))
 
 
 @query("bm25_search_filled", sql("gold", body=f"""select q.qid, row_number() over (partition by q.qid order by score desc, path_id) as rank, path_id from (
@@ -354,15 +354,15 @@ def vectors(s, d, key):
     return K.table(s, d, "embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias("vec"))
 
 
-@query("dense_search", f"with {_DOT} select qid, k as rank, round(score, 6) score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 10")
+@query("dense_search", f"with {_DOT} select qid, k as rank, score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 10")
 def _(s, d):
-    return big(J.dense_search(vectors(s, d, "qid"), vectors(s, d, "path_id"), 10)).withColumn("score", F.round("score", 6))
+    return big(J.dense_search(vectors(s, d, "qid"), vectors(s, d, "path_id"), 10))
 
 
-@query("dense_search_blocked", f"with {_DOT} select qid, k as rank, round(score, 6) score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 10")
+@query("dense_search_blocked", f"with {_DOT} select qid, k as rank, score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 10")
 def _(s, d):
     """Several blocks on both sides."""
-    return big(J.dense_search(vectors(s, d, "qid"), vectors(s, d, "path_id"), 10, 200, 1024 * 4 * 16)).withColumn("score", F.round("score", 6))
+    return big(J.dense_search(vectors(s, d, "qid"), vectors(s, d, "path_id"), 10, 200, 1024 * 4 * 16))
 
 
 @query("dense_search_ivf")
@@ -380,11 +380,11 @@ def _(s, d):
 @query("hybrid_search_rrf", f"""with {_BM}, {_DOT}, b as (select * from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 20),
   e as (select * from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 20 and qid in (select item_id from benchmark)),
   f as (select qid, path_id, round(coalesce(1 / (60 + b.k)::double, 0) + coalesce(1 / (60 + e.k)::double, 0), 12) s, b.k bk, e.k ek from b full join e using (qid, path_id))
-  select qid, r as rank, round(s, 6) score, path_id from (select *, row_number() over (partition by qid order by s desc, bk nulls last, ek nulls last, path_id) r from f) y where r <= 10""")
+  select qid, r as rank, s as score, path_id from (select *, row_number() over (partition by qid order by s desc, bk nulls last, ek nulls last, path_id) r from f) y where r <= 10""")
 def _(s, d):
     bm = bm25_docs(s, d, 20)
     q = vectors(s, d, "qid").join(doc_questions(s, d).select("qid"), "qid", "left_semi")
-    return big(J.hybrid_search(bm, J.dense_search(q, vectors(s, d, "path_id"), 20), 10)).withColumn("score", F.round("score", 6))
+    return big(J.hybrid_search(bm, J.dense_search(q, vectors(s, d, "path_id"), 20), 10))
 
 
 @query("small_corpus_bypass", sql("chains", body="select o_orderkey qid, path_id + 1 as rank, path_id from orders, chains"))
@@ -410,12 +410,20 @@ def _(s, d):
     return r.select("qid", J.hyde_text(F.col("question"), F.col("path")).alias("out"))
 
 
-@query("retrieval_run", sql("gold", body="select 1.0::double recall_1, 1.0::double rr"))
+_NORM_DOC = "lower(trim(text))"
+
+
+@query("retrieval_run", f"""with {_BM.replace('doc_id path_id, unnest', 'path_id, unnest').replace('from documents)', 'from corpus)').replace('from documents', 'from corpus')}, k as (select *, row_number() over (partition by qid order by score desc, path_id) k from bm),
+  g as (select item_id qid, d.text from benchmark join documents d on d.doc_id = item_id), hit as (select g.qid, min(k.k) r from g left join (select k.qid, k.k, c.text from k join corpus c using (path_id)) k on k.qid = g.qid and k.text = g.text group by g.qid)
+  select """.replace("with tok", "with corpus as (select text, row_number() over (order by text) - 1 path_id from (select distinct text from documents where text <> '') x), tok") +
+    ", ".join(f"round(avg(case when r <= {k} then 1 else 0 end), 6) recall_{k}" for k in (1, 10, 50)) + ", round(avg(case when r <= 50 then 1::double / r else 0 end), 6) rr from hit")
 def _(s, d):
-    """Every distinct path text asks for itself, so each must come first."""
-    p = K.paths(s, d).select(F.col("full_path").alias("path")).distinct()
-    q = p.select(F.xxhash64("path").alias("qid"), F.col("path").alias("question"))
-    return A.retrieval_run(q, p, None, q.select("qid", F.col("question").alias("path")), 1, "split")[1].select("recall_1", "rr")
+    """Search the two halves of the documents as one corpus; the document with the number of the item is its gold."""
+    doc = K.table(s, d, "documents").select("doc_id", F.col("text").alias("path"))
+    q = doc_questions(s, d)
+    gold = q.select("qid").join(doc.withColumnRenamed("doc_id", "qid"), "qid")
+    report = A.retrieval_run(q, doc.filter("doc_id % 2 = 0"), doc.filter("doc_id % 2 = 1"), gold, 50, "split")[1]
+    return report.select("recall_1", "recall_10", "recall_50", "rr")
 
 
 @query("candidate_entities", sql("ranked", "sold", "bought", "bits", r="select qid, rank, path_id from ranked where rank <= 2", e="""
@@ -734,7 +742,7 @@ def _(s, d):
     mid = F.concat(F.lit("ns:m.0"), F.col("item_id").cast("string"))
     raw = b.select(F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("ID"), F.col("text").alias("question"),
                    F.array(F.struct(F.lit("a").alias("answer")), F.struct(F.lit("b").alias("answer"))).alias("answers"), F.concat(F.lit("SELECT ?x { "), mid, F.lit(" ns:p ?x . "), mid, F.lit(" }")).alias("sparql"))
-    raw.select(F.concat(F.lit("[\n"), F.to_json(F.struct("ID", "question", "answers", "sparql")), F.lit("\n]")).alias("value")).write.mode("overwrite").text(at)
+    raw.select(F.concat(F.lit("[\n"), F.to_json(F.struct("ID", "question", "answers", "sparql")), F.lit("\n]")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(at)
     return IN.ingest_raw_cwq(s, at, "dev").select("id", "question", joined("answer").alias("answer"), joined("q_entity").alias("q_entity"), "split")
 
 
