@@ -7,12 +7,13 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _NOT_WORD = re.compile(r"[^\w\s]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_norm(texts: pd.Series) -> pd.Series:
     """Lower case, accents removed, other non-ASCII dropped, no punctuation, single blanks."""
     def one(t):
@@ -37,7 +38,7 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """100 * (1 - insertions and deletions / total length)."""
     def one(a, b):

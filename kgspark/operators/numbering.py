@@ -14,7 +14,7 @@ def positions(df: DataFrame, order: list[str], group: list[str] | None = None, n
 
     Rows are range-partitioned on group and order, so a hot group spreads over many partitions; each partition numbers
     its own slice and adds the number of rows that earlier partitions hold for the group. ``order`` should be a total
-    order inside the group. The sorted rows are checkpointed because slice borders come from a sample.
+    order inside the group. The tagged rows are written out because slice borders come from a sample.
     """
     group = group or []
     keys = [F.col(c) for c in group + order]

@@ -1,6 +1,6 @@
 """Finding paths between entities: level-by-level joins in which the queue order of a search is carried as data.
 
-Every level is checkpointed: it is used twice (as a result and as the base of the next level), and a lost executor must
+Every level is written out (``cut_lineage``): it is used twice (as a result and as the base of the next level), and a lost executor must
 not send the search back to the first level. A state keeps ``steps``, the list of (direction, triple position) taken so far. Comparing two such lists of equal length
 compares their places in a breadth-first queue, so "first arrival" is a plain ``min`` aggregate and needs no numbering.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import cut_lineage
+from ..session import bucketed, cut_lineage
 from .entity_match import match_entities, resolve_entity
 from .numbering import first_per, positions, top_per
 
@@ -31,6 +31,11 @@ def _reach(targets: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     return seen
 
 
+def _by_node(edges: DataFrame) -> DataFrame:
+    """Edges laid out by (gid, node) once, so that every level moves only its own states to them."""
+    return bucketed(edges, "gid", "node")
+
+
 def _near(live: DataFrame, reach: DataFrame, left: int, levels: int) -> DataFrame:
     """Drop states from which no target lies within the ``left`` remaining hops (where ``reach`` goes that far)."""
     if left > levels:
@@ -45,9 +50,10 @@ def enumerate_simple_paths(starts: DataFrame, targets: DataFrame, triples: DataF
     ``starts``/``targets`` are ``(qid, gid, entity)``. The search goes on through targets. States that cannot reach a
     target any more are dropped at every level, which keeps hubs from multiplying dead ends.
     """
-    edges = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next")).distinct()
+    edges = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"))
     levels = max_depth - 1 if prune_levels is None else prune_levels
     reach = _reach(targets, edges, levels)
+    edges = _by_node(edges)
     goal = targets.select("qid", "gid", F.col("entity").alias("node")).distinct()
     live = starts.select("qid", "gid", F.col("entity").alias("node")).distinct().withColumn(
         "entities", F.array("node")).withColumn("relations", F.array().cast("array<string>"))
@@ -59,7 +65,7 @@ def enumerate_simple_paths(starts: DataFrame, targets: DataFrame, triples: DataF
         live = cut_lineage(_near(live, reach, max_depth - depth, levels))
         hit = live.join(goal, ["qid", "gid", "node"], "left_semi").select("qid", "entities", "relations")
         found = hit if found is None else found.unionByName(hit)
-    return found
+    return found.distinct()  # a triple listed twice is one step
 
 
 def label_reasoning_paths(names_q: DataFrame, names_a: DataFrame, triples: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -86,10 +92,10 @@ def bfs_paths_undirected(starts: DataFrame, targets: DataFrame, triples: DataFra
     """
     fwd = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"), F.lit(0).alias("dir"), "triple_idx")
     bwd = triples.select("gid", F.col("obj").alias("node"), "rel", F.col("subj").alias("next"), F.lit(1).alias("dir"), "triple_idx")
-    edges = fwd.unionByName(bwd)
+    edges = _by_node(fwd.unionByName(bwd))
     goal = targets.select("qid", "gid", F.col("entity").alias("node")).distinct()
     levels = min(prune_levels, max_hops - 1)
-    reach = _reach(targets, edges.select("gid", "node", "next").distinct(), levels)
+    reach = _reach(targets, edges, levels)
     # a repeated start brings nothing new; questions without targets have nothing to find
     live = first_per(starts.select("qid", "gid", "pos", "entity"), ["qid", "gid", "entity"], ["pos"]).join(
         goal.select("qid").distinct(), "qid", "left_semi").select(
@@ -148,8 +154,9 @@ def connecting_paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 3, m
         s = pairs.select("qid", "gid", F.col("start").alias("node"))
         t = pairs.select("qid", "gid", F.col("end").alias("entity"))
     edges = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"), "triple_idx")
+    edges = _by_node(edges)
     levels = max_depth - 1
-    reach = _reach(t, edges.select("gid", "node", "next").distinct(), levels)
+    reach = _reach(t, edges, levels)
     goal = t.select("qid", "gid", F.col("entity").alias("node")).distinct()
     live = s.distinct().withColumn("entities", F.array("node")).withColumn("relations", F.array().cast("array<string>")).withColumn(
         "steps", F.array().cast("array<int>"))
@@ -178,6 +185,7 @@ def all_shortest_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame
     """
     edges = first_per(triples.select("gid", "subj", "obj", "rel", "triple_idx"), ["gid", "subj", "obj"], ["triple_idx"]).select(
         "gid", F.col("subj").alias("node"), F.col("obj").alias("next"), "rel")
+    edges = _by_node(edges)
     nodes = triples.select("gid", F.explode(F.array("subj", "obj")).alias("entity")).distinct()
     present = lambda df: df.select("qid", "gid", "entity").distinct().join(nodes, ["gid", "entity"], "left_semi")
     s, t = present(starts), present(targets)

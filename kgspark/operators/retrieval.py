@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import cut_lineage
+from ..session import bucketed, cut_lineage
 from . import ranking as R
 from .filters import filter_by_relations, hop_filter, is_machine_id, min_score
 from .numbering import first_per, top_per
@@ -55,7 +55,7 @@ def bm25_index(corpus: DataFrame, tokenizer: str = "path", k1: float = 1.5, b: f
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (length / n)))
     postings = tf.join(split, "term", "left").withColumn("part", part).join(weights, ["term", "part"]).select(
         "term", "part", "path_id", (F.col("idf") * gain).alias("impact"))
-    return Bm25Index(cut_lineage(postings.repartition("path_id")), terms.select("term", "df", "parts"), corpus.select("path_id"))
+    return Bm25Index(bucketed(postings, "path_id"), terms.select("term", "df", "parts"), corpus.select("path_id"))
 
 
 def bm25_search(questions: DataFrame, index: Bm25Index, k: int | None, tokenizer: str = "path", text: str = "question",

@@ -73,7 +73,7 @@ def follow_path(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hop
         starts = resolve_entity(starts, triples).select("qid", "gid", F.col("entity").alias("start"), F.col("match").alias("entity"))
     else:
         starts = starts.select("qid", "gid", F.col("entity").alias("start"), "entity")
-    edges = _edges(triples, direction).select("gid", F.col("node").alias("entity"), "rel", "next").distinct()
+    edges = _edges(triples, direction).select("gid", F.col("node").alias("entity"), "rel", "next")
     keys = ["qid", "gid", "start", "path_id"]
     live = starts.join(paths.select("qid", "path_id", "relations").filter(F.size("relations").between(1, max_hops)), "qid")
     for hop in range(max_hops):
@@ -130,7 +130,7 @@ def follow_path_flexible(topics: DataFrame, ranked: DataFrame, triples: DataFram
 def instantiate_paths(starts: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int) -> DataFrame:
     """``starts(qid, gid, entity)``, ``ranked(qid, path)`` → distinct ``(qid, text)`` of every concrete path."""
     steps = ranked.select("qid", F.split("path", S.SEP).alias("relations")).distinct()
-    edges = triples.select("gid", F.col("subj").alias("entity"), "rel", F.col("obj").alias("next")).distinct()
+    edges = triples.select("gid", F.col("subj").alias("entity"), "rel", F.col("obj").alias("next"))
     live = starts.select("qid", "gid", "entity", F.array("entity").alias("nodes")).join(
         steps.filter(F.size("relations") <= max_hops), "qid")
     for hop in range(max_hops):

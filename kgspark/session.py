@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,9 @@ def get_spark(app: str = "kgspark", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # at run time, once all partitions of a side are seen to be small: hash instead of sort, or send it to all tasks
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -30,7 +34,7 @@ def get_spark(app: str = "kgspark", master: str | None = None, **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; only a local master may fall back to a temp folder."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``, which all executors share; only a local master may fall back to a temp folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
@@ -42,7 +46,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def _new_place(spark: SparkSession) -> tuple[str, str]:
+    ensure_checkpoint_dir(spark)
+    name = f"kgspark_{uuid.uuid4().hex}"
+    return name, f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of executors and the plan restarts from files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as parquet into the shared folder and go on from there.
+
+    They survive the loss of executors, are read column by column, and their size is known to the optimizer, which can
+    then choose joins by it.
+    """
+    spark = df.sparkSession
+    _, path = _new_place(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write a table bucketed and sorted by the keys into the shared folder; joins and groupings on the keys then read it
+    in place, without a shuffle. Use it for a side that several steps join with."""
+    spark = df.sparkSession
+    name, path = _new_place(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
