@@ -56,6 +56,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that sits in a few big file splits; bigger tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def _order_keys(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One row per question, partitioned by it. Lists grow out of these rows in place, so joins and groupings on the
+    question need no further shuffle of the longer lists."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), *more).repartition(n, "qid")
+
+
 def _node(letter: str, key: str) -> Column:
     return F.concat(F.lit(letter), F.col(key).cast("string"))
 
@@ -150,7 +163,7 @@ def _seeded(seed: str, *cols: Column) -> Column:
 
 def ranked(spark: SparkSession, sf_dir: str, source: str = "retrieved", seed: str = "42") -> DataFrame:
     """All eight relation chains per question in a seeded order, scored 1/rank."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"))
+    o = _order_keys(spark, sf_dir)
     chains = F.array(*[F.struct(F.lit(i).cast("bigint").alias("path_id"), F.lit(" -> ".join(c)).alias("path"))
                        for i, c in enumerate(CHAINS)])
     order = F.transform(chains, lambda c: F.struct(_seeded(seed, F.col("qid"), c["path_id"]).alias("h"),
@@ -163,7 +176,7 @@ def ranked(spark: SparkSession, sf_dir: str, source: str = "retrieved", seed: st
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold path of every order, plus a second one for finished orders."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), "o_orderstatus")
+    o = _order_keys(spark, sf_dir, "o_orderstatus")
     both = F.when(F.col("o_orderstatus") == "F", F.array(F.lit(GOLD), F.lit(SECOND_GOLD))).otherwise(F.array(F.lit(GOLD)))
     return o.select("qid", F.posexplode(both).alias("path_no", "path"))
 
@@ -171,7 +184,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str, samples: int = 5) -> DataFrame:
     """Five sampled answers per question: the region with the smallest seeded hash."""
     regions = table(spark, sf_dir, "region").agg(F.collect_list("r_name").alias("names"))  # five rows at any scale
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"))
+    o = _order_keys(spark, sf_dir)
     rows = o.select("qid", regions.scalar().alias("names"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_no"))
     best = F.array_min(F.transform("names", lambda n: F.struct(
         F.md5(F.concat_ws("|", F.col("qid").cast("string"), F.col("sample_no").cast("string"), n)).alias("h"), n.alias("n"))))

@@ -21,7 +21,7 @@ strip_sql = lambda c: f"regexp_replace(regexp_replace({c}, '^{WS}', ''), '{WS}$'
 # letters and digits outside ASCII stand as "_" for the SQL engine, whose word class is ASCII only
 plain_sql = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7F\\p{{Z}}\\p{{P}}\\p{{S}}\\p{{C}}\\p{{M}}]', '_', 'g')"
 lits = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-docs = lambda s, d: K.table(s, d, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
+docs = lambda s, d: K.spread(K.table(s, d, "documents")).select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
 turns = lambda s, d: K.table(s, d, "conversations").select("conv_id", "turn", "text")
 
 
@@ -29,7 +29,7 @@ def scalar(name, table, key, expr, sql_expr):
     """One function over a whole text column."""
     @query(name, f"select {key}, {sql_expr} out from {table}")
     def _(s, d):
-        return K.table(s, d, table).select(key, expr(F.col("text") if table == "documents" else None).alias("out"))
+        return K.spread(K.table(s, d, table)).select(key, expr(F.col("text") if table == "documents" else None).alias("out"))
 
 
 _no_punct = f"translate(lower(text), {PUNCT}, '')"
@@ -163,7 +163,7 @@ def all_texts(s, d):
                  t("conversations").select(F.lit(2000000000) + F.col("conv_id") * 1000 + F.col("turn"), "text"),
                  K.questions(s, d).select(F.lit(3000000000) + F.col("qid"), "question")):
         rows = rows.union(more)
-    return rows
+    return rows.repartition(max(s.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))  # long and short texts mixed
 
 
 @query("classify_question", f"{ALL_TEXT} {_CLASS}")
