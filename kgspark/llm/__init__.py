@@ -12,4 +12,4 @@ def load_all():
     return dict(core.QUERIES), dict(core.ORACLES)
 
 
-TOPICS = ["exact_dedup", "mixing", "bpe", "language"]
+TOPICS = ["exact_dedup", "mixing", "bpe", "language", "near_dedup"]
