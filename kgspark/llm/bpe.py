@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .core import query, table
 from .transducer import Transducer
 
-LEXICON_WORDS = 200_000
-RECENT = 300_000
+LEXICON_WORDS = 50_000
+RECENT = 150_000
 FLUSH = 200_000  # distinct words that a counting task holds before it hands them on
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 PATTERN = regex.compile(CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -231,11 +231,18 @@ def _gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", vocabulary_path: str | None = None, words: int = LEXICON_WORDS) -> Lexicon:
-    """The ``words`` most frequent words of all texts (ties to the smaller), compiled on the driver: their number is bounded."""
+    """The most frequent words of all texts, at most ``words``, compiled on the driver. A grade of frequency goes in as a whole or not at all."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(vocabulary_path or default_vocabulary())
-    top = word_counts(docs, text_col).orderBy(F.col("n").desc(), "word").limit(words).select("word").collect()
-    chosen = sorted(bytes(r["word"]) for r in top)
+    counts = cut_lineage(word_counts(docs, text_col).withColumn("grade", F.floor(F.log(F.col("n")) * 8).cast("int")))
+    grades = counts.groupBy("grade").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("grade").desc()).collect()  # some hundred
+    held, least = 0, None
+    for r in grades:
+        held += r["words"]
+        if held > words:
+            break
+        least = r["grade"]
+    chosen = sorted(bytes(r["word"]) for r in counts.filter(F.col("grade") >= least).select("word").collect()) if least is not None else []
     coded = [vocabulary.merge(w) for w in chosen]
     name = _ship(spark, Transducer.compile(chosen).to_bytes())
     ids = np.fromiter((i for c in coded for i in c), np.uint32)

@@ -38,7 +38,7 @@ STRETCH = 32
 SAMPLE_ROWS = 3_000
 ROUNDS = 2
 SMOOTHING = 0.1
-RECENT = 300_000
+RECENT = 150_000
 AT_ONCE = 20_000  # words scored together
 OTHER = 1e-7  # a letter that is no piece
 BASE = np.uint64(0x9E3779B97F4A7C15)
