@@ -76,8 +76,22 @@ def _shingles(words: Column) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def _minimum(window: Column, k: int) -> Column:
-    return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(k))))
+def _hashed(k: int) -> Column:
+    """Hash number k of every shingle, once per text; windows then take minima of slices."""
+    return F.transform("s", lambda x: F.xxhash64(x, F.lit(k))).alias(f"h{k}")
+
+
+def _windows(license: str, size: int, minima: list[int]) -> Column:
+    """The windows of a template's size that share a band with it. A window of one shingle needs one hash only."""
+    def alike(start: Column) -> Column:
+        same = [F.array_min(F.slice(F.col(f"h{k}"), start, F.lit(size))) == F.lit(m) for k, m in enumerate(minima[: 1 if size == 1 else HASHES])]
+        out = same[0]
+        for x in same[1:]:
+            out = out | x
+        return out
+
+    starts = F.filter(F.sequence(F.lit(1), F.size("s"), F.lit(max(1, size // 4))), alike)
+    return F.transform(starts, lambda i: F.struct(F.lit(license).alias("license"), i.alias("start")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,30 +101,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     split = {name: w for name, w in split.items() if len(w) >= SHINGLE}
     # the templates' shingles and minima are computed by the same expressions; their number is that of the templates
     frame = spark.createDataFrame([(n, w) for n, w in split.items()], "license string, words array<string>")
-    known = frame.select("license", F.array_distinct(_shingles(F.col("words"))).alias("s")).select("license", "s", *[_minimum(F.col("s"), k).alias(f"m{k}") for k in range(HASHES)]).collect()
+    known = frame.select("license", F.array_distinct(_shingles(F.col("words"))).alias("s")).select("license", "s", *[_hashed(k) for k in range(HASHES)]).select("license", "s", *[F.array_min(f"h{k}").alias(f"m{k}") for k in range(HASHES)]).collect()
     must = sorted(set().union(*(needed_words(w) for w in split.values())))
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("(?iu)" + "|".join(map(re.escape, must))))
     shingled = cut_lineage(some.select("doc_id", _shingles(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("s")).filter(F.size("s") > 0))
-    by_size: dict[int, list] = {}
+    hashed = shingled.select("doc_id", "s", *[_hashed(k) for k in range(HASHES)])
+    hits = [_windows(r["license"], len(r["s"]), [r[f"m{k}"] for k in range(HASHES)]) for r in known]
+    near = hashed.select("doc_id", "s", F.explode(F.concat(*hits)).alias("hit")).select("doc_id", "s", "hit.license", "hit.start")
+    held = None
     for r in known:
-        by_size.setdefault(len(r["s"]), []).append(r)
-    found = None
-    for size, rows in sorted(by_size.items()):
-        hashes = 1 if size == 1 else HASHES
-        step = max(1, size // 4)
-        starts = F.sequence(F.lit(1), F.size("s"), F.lit(step))
-        windows = shingled.select("doc_id", "s", F.explode(starts).alias("start")).withColumn("w", F.slice("s", F.col("start"), size))
-        hit = F.array(*[F.when(F.exists(F.array(*[_minimum(F.col("w"), k) == F.lit(r[f"m{k}"]) for k in range(hashes)]), lambda x: x), F.lit(r["license"])) for r in rows])
-        near = windows.select("doc_id", "s", "start", F.explode(F.array_compact(hit)).alias("license"))
+        size = len(r["s"])
         wide = F.slice("s", F.greatest(F.lit(1), F.col("start") - size), 3 * size)
-        held = None
-        for r in rows:
-            one = F.size(F.array_intersect(F.array(*map(F.lit, r["s"])), wide)) / size
-            held = F.when(F.col("license") == r["license"], one) if held is None else held.when(F.col("license") == r["license"], one)
-        part = near.select("doc_id", "license", "start", held.alias("containment"), F.xxhash64("s").alias("text")).filter(F.col("containment") >= CONTAINED)
-        part = part.groupBy("doc_id", "text", "license").agg(F.max("containment").alias("containment"), (F.min("start") - 1).alias("at_word"))
-        found = part if found is None else found.unionByName(part)
-    return found.select("doc_id", "license", "containment", "at_word")
+        one = F.size(F.array_intersect(F.array(*map(F.lit, r["s"])), wide)) / size
+        held = F.when(F.col("license") == r["license"], one) if held is None else held.when(F.col("license") == r["license"], one)
+    found = near.select("doc_id", "license", "start", held.alias("containment"), F.xxhash64("s").alias("text")).filter(F.col("containment") >= CONTAINED)
+    return found.groupBy("doc_id", "text", "license").agg(F.max("containment").alias("containment"), (F.min("start") - 1).alias("at_word")).drop("text")
 
 
 @query("op9_licenses")
