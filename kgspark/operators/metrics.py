@@ -197,7 +197,9 @@ def compare_runs(runs: dict[str, DataFrame], gold: DataFrame, ks: list[int] | No
     g = gold.select("qid", NORMS[norm](F.col("path")).alias("key")).distinct()
     best = rows.join(g, ["qid", "key"], "left_semi").groupBy("run", "qid").agg(F.min("rank").alias("rank"))
     total = g.select(F.count_distinct("qid").cast("double")).scalar()
-    out = best.groupBy("run").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks], F.sum(F.lit(1.0) / F.col("rank")).alias("rr"))
+    found = best.groupBy("run").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks], F.sum(F.lit(1.0) / F.col("rank")).alias("rr"))
+    # a run without any hit has its row too
+    out = rows.select("run").distinct().join(found, "run", "left").fillna(0)
     return out.select("run", *[F.round(F.col(f"h{k}") / total, 6).alias(f"hits_{k}") for k in ks], F.round(F.col("rr") / total, 6).alias("mrr"))
 
 

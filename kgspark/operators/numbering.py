@@ -41,9 +41,10 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def top_per(df: DataFrame, group: list[str], order: list[Column | str], k: int, name: str = "rank") -> DataFrame:
-    """The first k rows per group with their position from 1. The limit is applied before and after the shuffle."""
+def top_per(df: DataFrame, group: list[str], order: list[Column | str], k: int | None, name: str = "rank") -> DataFrame:
+    """The first k rows per group (all without k) with their position from 1. The limit is applied before and after the shuffle."""
     w = W.partitionBy(*group).orderBy(*order)
     cols = [c for c in df.columns if c != name]
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).select(
+    numbered = df.withColumn("_rn", F.row_number().over(w))
+    return (numbered if k is None else numbered.filter(F.col("_rn") <= k)).select(
         *cols, F.col("_rn").alias(name))

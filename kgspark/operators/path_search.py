@@ -82,7 +82,7 @@ def label_reasoning_paths(names_q: DataFrame, names_a: DataFrame, triples: DataF
                                           S.relation_chain(r).alias("relation_chain"), F.size(r).alias("path_length"))
 
 
-def bfs_paths_undirected(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_hops: int = 4, enough: int | None = 200,
+def bfs_paths_undirected(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_hops: int = 4, enough: int | None = None,
                          prune_levels: int = 1) -> DataFrame:
     """Paths that use edges in both directions; an (entity, depth) state is entered once per start, by the first arrival.
 

@@ -60,14 +60,19 @@ def minmax_fuse(bm25: DataFrame, dense: DataFrame, top: int, alpha: float = 0.5)
     return top_k(fused.withColumn("score", F.round("score", 12)), top).select("qid", "rank", "score", "path_id")
 
 
-def fuse_full_corpus(dense_top: DataFrame, bm25_all: DataFrame, top: int, variant: str = "minmax", dense_weight: float | None = None) -> DataFrame:
+def fuse_full_corpus(dense_top: DataFrame, bm25_all: DataFrame, top: int, variant: str = "minmax", dense_weight: float | None = None,
+                     corpus_size: int | None = None) -> DataFrame:
     """BM25 over everything with dense scores only for the dense top list.
 
-    ``minmax``: both scaled with 1e-9 added to the range, weight 0.5. ``scaled``: raw dense 0.7 + BM25 / maximum 0.3.
+    ``bm25_all`` may hold the matches only: with ``corpus_size``, a question with fewer rows has paths of score 0, which count
+    in the minimum. ``minmax``: both scaled with 1e-9 added to the range, weight 0.5. ``scaled``: raw dense 0.7 + BM25 / maximum 0.3.
     """
     w = dense_weight if dense_weight is not None else (0.5 if variant == "minmax" else 0.7)
-    lim = lambda df, p: df.groupBy("qid").agg(F.min("score").alias(f"{p}lo"), F.max("score").alias(f"{p}hi"))
+    lim = lambda df, p: df.groupBy("qid").agg(F.min("score").alias(f"{p}lo"), F.max("score").alias(f"{p}hi"), F.count(F.lit(1)).alias(f"{p}n"))
     b = bm25_all.select("qid", "path_id", "score").join(lim(bm25_all, "b"), "qid")
+    if corpus_size is not None:
+        partial = F.col("bn") < corpus_size
+        b = b.withColumns({"blo": F.when(partial, F.least("blo", F.lit(0.0))).otherwise(F.col("blo")), "bhi": F.when(partial, F.greatest("bhi", F.lit(0.0))).otherwise(F.col("bhi"))})
     d = dense_top.select("qid", "path_id", "score").join(lim(dense_top, "d"), "qid")
     if variant == "minmax":
         bs = (F.col("score") - F.col("blo")) / (F.col("bhi") - F.col("blo") + 1e-9)

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ from .numbering import first_per, top_per
 from .traversal import follow_path_flexible, one_hop_keyword_fallback
 
 
-BROADCAST_ROWS = 200_000  # query terms up to this many rows are sent to every task; more are joined by shuffle
 ROWS_PER_PART = 1_000_000  # postings of one term are split into parts of about this size
 
 
@@ -59,19 +59,16 @@ def bm25_index(corpus: DataFrame, tokenizer: str = "path", k1: float = 1.5, b: f
 
 
 def bm25_search(questions: DataFrame, index: Bm25Index, k: int | None, tokenizer: str = "path", text: str = "question",
-                fill: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                fill: bool = False) -> DataFrame:
     """Best k paths per question by summed impact; a repeated query term counts again. ``k=None`` returns all matches.
 
-    Up to ``broadcast_rows`` query terms (they are counted) the questions go to the postings: scores add up inside each
-    task and only k rows per task and question are shuffled. Beyond, both sides are shuffled by (term, part).
+    Terms meet their postings by (term, part), where frequent terms have several parts; whether the questions are sent to the
+    postings instead is left to the optimizer, which knows their size.
     """
     q = questions.select("qid", F.explode(S.TOKENIZERS[tokenizer](F.col(text))).alias("term")).groupBy("qid", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
-    if q.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        hits = index.postings.join(F.broadcast(q), "term")
-    else:
-        spread = q.join(index.terms.select("term", "parts"), "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hits = index.postings.join(spread, ["term", "part"])
+    spread = q.join(index.terms.select("term", "parts"), "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hits = index.postings.join(spread, ["term", "part"])
     scored = hits.groupBy("path_id", "qid").agg(F.round(F.sum(F.col("qtf") * F.col("impact")), 9).alias("score"))
     if k is None:
         return scored.select("qid", "path_id", "score")
@@ -106,11 +103,10 @@ def _cell_top(k: int):
     """Top k of one (query block, corpus block) cell by matrix product; equal scores by path id."""
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows == 0 or c.num_rows == 0:
-            return pa.table({"qid": pa.array([], pa.int64()), "path_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = c.column("path_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, mat = ids[order], _matrix(c.column("vec"))[order].T
-        qids, qmat = q.column("qid").to_numpy(), _matrix(q.column("vec"))
+            return pa.table({"qid": q.column("qid").slice(0, 0), "path_id": c.column("path_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        order = pc.sort_indices(c.column("path_id"))  # ids keep their type: numbers or texts
+        ids, mat = c.column("path_id").take(order), _matrix(c.column("vec"))[order.to_numpy()].T
+        qids, qmat = q.column("qid"), _matrix(q.column("vec"))
         keep = min(k, len(ids))
         out_q, out_p, out_s = [], [], []
         for lo in range(0, len(qids), 128):
@@ -119,17 +115,18 @@ def _cell_top(k: int):
             for row in range(len(scores)):
                 cand = np.flatnonzero(scores[row] >= cut[row])
                 best = cand[np.argsort(-scores[row][cand], kind="stable")[:keep]]
-                out_q.append(np.full(len(best), qids[lo + row]))
-                out_p.append(ids[best])
+                out_q.append(np.full(len(best), lo + row))
+                out_p.append(best)
                 out_s.append(scores[row][best])
-        return pa.table({"qid": np.concatenate(out_q), "path_id": np.concatenate(out_p), "score": np.concatenate(out_s)})
+        return pa.table({"qid": qids.take(pa.array(np.concatenate(out_q))), "path_id": ids.take(pa.array(np.concatenate(out_p))), "score": np.concatenate(out_s)})
 
     return run
 
 
 def _search_cells(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
     """``q(cell, qid, vec)`` against ``c(cell, path_id, vec)`` with equal cell; then the best k over all cells."""
-    part = q.groupBy("cell").cogroup(c.groupBy("cell")).applyInArrow(_cell_top(k), "qid bigint, path_id bigint, score double")
+    schema = f"qid {dict(q.dtypes)['qid']}, path_id {dict(c.dtypes)['path_id']}, score double"
+    part = q.groupBy("cell").cogroup(c.groupBy("cell")).applyInArrow(_cell_top(k), schema)
     return R.top_k(part, k).select("qid", "rank", "score", "path_id")
 
 
@@ -147,9 +144,9 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int, query_block: int
     per_block = max(1024, block_bytes // (4 * max(1, first["d"] if first else 1)))
     qb, cb = _blocks(queries.count(), query_block), _blocks(corpus.count(), per_block)
     fl = lambda: F.col("vec").cast("array<float>").alias("vec")
-    q = queries.select(F.col("qid").cast("bigint").alias("qid"), fl(), F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("b"),
+    q = queries.select(F.col("qid"), fl(), F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("b"),
                        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("o"))
-    c = corpus.select(F.col("path_id").cast("bigint").alias("path_id"), fl(), F.pmod(F.xxhash64("path_id"), F.lit(cb)).alias("b"),
+    c = corpus.select(F.col("path_id"), fl(), F.pmod(F.xxhash64("path_id"), F.lit(cb)).alias("b"),
                       F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("o"))
     return _search_cells(q.select((F.col("b") * cb + F.col("o")).alias("cell"), "qid", "vec"),
                          c.select((F.col("o") * cb + F.col("b")).alias("cell"), "path_id", "vec"), k)
@@ -164,7 +161,7 @@ def dense_search_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = corpus.select(F.col("path_id").cast("bigint").alias("path_id"), "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    vectors = corpus.select(F.col("path_id"), "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="features", predictionCol="cluster").fit(vectors)
     placed = cut_lineage(model.transform(vectors).select("path_id", "vec", "cluster"))
     parts = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("bigint").alias("parts"))  # nlist rows
@@ -178,7 +175,7 @@ def dense_search_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int =
     score = lambda s: F.aggregate(F.zip_with("vec", s["m"], lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v) * -2.0 + s["n"]
     near = F.slice(F.array_sort(F.transform(cents, lambda s: F.struct(score(s).alias("d"), s["cluster"].alias("cluster")))), 1, nprobe)
     q = queries.select("qid", "vec", F.transform(near, lambda s: s["cluster"]).alias("probes"))
-    q = q.select(F.col("qid").cast("bigint").alias("qid"), fl(), F.explode("probes").alias("cluster"))
+    q = q.select(F.col("qid"), fl(), F.explode("probes").alias("cluster"))
     q = q.join(F.broadcast(parts), "cluster").select("qid", "vec", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
     return _search_cells(q.select((F.col("cluster") * width + F.col("p")).alias("cell"), "qid", "vec"), c, k)
 

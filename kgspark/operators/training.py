@@ -20,10 +20,10 @@ def chance(seed: int | str, *parts: Column | str) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def hard_negatives(ranked: DataFrame, gold: DataFrame, k: int = 7, pool: int = 100) -> DataFrame:
-    """The best k of the pool that are no gold path: ``(qid, no, path)``."""
+def hard_negatives(ranked: DataFrame, gold: DataFrame, k: int = 7, pool: int | None = None) -> DataFrame:
+    """The best k (of the first ``pool``, if given) that are no gold path: ``(qid, no, path)``."""
     g = gold.select("qid", S.norm_path(F.col("path")).alias("key")).distinct()
-    r = ranked.filter(F.col("rank") <= pool).withColumn("key", S.norm_path(F.col("path")))
+    r = (ranked if pool is None else ranked.filter(F.col("rank") <= pool)).withColumn("key", S.norm_path(F.col("path")))
     left = r.join(g, ["qid", "key"], "left_anti").select("qid", F.col("rank").alias("_at"), "path")
     return top_per(left, ["qid"], ["_at"], k, "no").drop("_at")
 
@@ -40,7 +40,9 @@ def random_negatives(questions: DataFrame, corpus: DataFrame, exclude: DataFrame
         return questions.select("qid", F.lit(1).alias("no"), F.lit("").alias("path")).limit(0)
     step = next(p for p in _STEPS if n % p != 0 or n == 1)
     ex = exclude.select("qid", S.norm_path(F.col("path")).alias("key")).distinct()
-    out = ex.groupBy("qid").agg(F.count(F.lit(1)).alias("out"))
+    # several spellings may share one normal form: count the corpus paths that are excluded, not the forms
+    spelled = corpus.groupBy(S.norm_path(F.col("path")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    out = ex.join(spelled, "key").groupBy("qid").agg(F.sum("n").alias("out"))
     start = F.floor(chance(seed, "qid") * n).cast("bigint")
     draws = questions.select("qid").join(out, "qid", "left").select(
         "qid", start.alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.coalesce("out", F.lit(0)) + k, F.lit(n)) - 1)).alias("i"))

@@ -60,14 +60,19 @@ def _hop(live: DataFrame, edges: DataFrame, hop: int, grow: dict[str, Column], r
     return out.withColumn("entity", F.when(F.col("_over"), F.col("entity")).otherwise(F.col("next")))
 
 
-def follow_path(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hops: int, direction: str = "forward",
-                max_results: int | None = 100, resolve: bool = True) -> DataFrame:
+def longest(paths: DataFrame, relations: str = "relations") -> int:
+    """The number of relations of the longest path: so many hops have to be made."""
+    return paths.agg(F.max(F.size(relations)).alias("n")).first()["n"] or 0
+
+
+def follow_path(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hops: int | None = None, direction: str = "forward",
+                max_results: int | None = None, resolve: bool = True) -> DataFrame:
     """All questions, all paths: ``starts(qid, gid, entity)``, ``paths(qid, path_id, relations)`` →
     ``(qid, gid, start, path_id, entity)``.
 
     Every hop is an equi-join on (gid, node, relation) and a distinct; a path leaves the loop when it has no further
-    relation. ``max_hops`` is the length of the longest path to follow. Results beyond ``max_results`` per start and
-    path are cut in text order.
+    relation. Paths of any length are followed; ``max_hops``, if given, leaves out longer ones. ``max_results``, if
+    given, cuts the results per start and path in text order.
     """
     if resolve:
         starts = resolve_entity(starts, triples).select("qid", "gid", F.col("entity").alias("start"), F.col("match").alias("entity"))
@@ -75,7 +80,10 @@ def follow_path(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hop
         starts = starts.select("qid", "gid", F.col("entity").alias("start"), "entity")
     edges = _edges(triples, direction).select("gid", F.col("node").alias("entity"), "rel", "next")
     keys = ["qid", "gid", "start", "path_id"]
-    live = starts.join(paths.select("qid", "path_id", "relations").filter(F.size("relations").between(1, max_hops)), "qid")
+    paths = paths.select("qid", "path_id", "relations").filter(F.size("relations") >= 1)
+    if max_hops is None:
+        max_hops = longest(paths)
+    live = starts.join(paths.filter(F.size("relations") <= max_hops), "qid")
     for hop in range(max_hops):
         live = _hop(live, edges, hop, {}).select(*keys, "relations", "entity").distinct()
     done = live.select(*keys, "entity")
@@ -84,7 +92,7 @@ def follow_path(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hop
     return done
 
 
-def follow_bidirectional(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hops: int, max_results: int = 100,
+def follow_bidirectional(starts: DataFrame, paths: DataFrame, triples: DataFrame, max_hops: int | None = None, max_results: int | None = None,
                          resolve: bool = True) -> DataFrame:
     """Forward results first, then those of the reversed path followed backwards, without repeats, cut per path."""
     fwd = follow_path(starts, paths, triples, max_hops, "forward", max_results, resolve).withColumn("side", F.lit(0))
@@ -107,13 +115,15 @@ def relation_match_pairs(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return pairs.unionByName(w.join(p, "cue").select("path_rel", "graph_rel")).distinct()
 
 
-def follow_path_flexible(topics: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int) -> DataFrame:
+def follow_path_flexible(topics: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``topics(qid, gid, entity)``, ``ranked(qid, rank, path)`` → ``(qid, rank, path, entity, trail)``.
 
     A relation of the path follows every graph relation that matches it loosely. Repeats are kept, as separate rows
     ordered by ``trail`` (the triple positions walked); machine ids are dropped at the end.
     """
     steps = ranked.select("qid", "rank", "path", F.transform(F.split("path", S.SEP), lambda r: S.strip(r)).alias("relations"))
+    if max_hops is None:
+        max_hops = longest(steps)
     wanted = ranked.select("path").distinct().select(
         F.explode(F.transform(F.split("path", S.SEP), lambda r: S.strip(r))).alias("path_rel")).distinct()
     match = relation_match_pairs(wanted, triples.select(F.col("rel").alias("graph_rel")).distinct())
@@ -127,9 +137,11 @@ def follow_path_flexible(topics: DataFrame, ranked: DataFrame, triples: DataFram
     return done.filter(~is_machine_id(F.col("entity")))
 
 
-def instantiate_paths(starts: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int) -> DataFrame:
+def instantiate_paths(starts: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``starts(qid, gid, entity)``, ``ranked(qid, path)`` → distinct ``(qid, text)`` of every concrete path."""
     steps = ranked.select("qid", F.split("path", S.SEP).alias("relations")).distinct()
+    if max_hops is None:
+        max_hops = longest(steps)
     edges = triples.select("gid", F.col("subj").alias("entity"), "rel", F.col("obj").alias("next"))
     live = starts.select("qid", "gid", "entity", F.array("entity").alias("nodes")).join(
         steps.filter(F.size("relations") <= max_hops), "qid")
@@ -150,8 +162,8 @@ def chain_variants(relations: Column) -> Column:
     return F.array_distinct(F.concat(prefixes, singles, ends))
 
 
-def retrieve_with_fallbacks(questions: DataFrame, topics: DataFrame, preds: DataFrame, triples: DataFrame, max_hops: int,
-                            stop_after: int = 50, max_results: int = 100, resolve: bool = True) -> DataFrame:
+def retrieve_with_fallbacks(questions: DataFrame, topics: DataFrame, preds: DataFrame, triples: DataFrame, max_hops: int | None = None, *,
+                            stop_after: int, max_results: int | None = None, resolve: bool = True) -> DataFrame:
     """``questions(qid, gid)``, ``topics(qid, pos, entity)``, ``preds(qid, rank, path)`` → ``(qid, entity)``.
 
     Chains are tried per topic in order, each in all its variants; once more than ``stop_after`` entities are found no

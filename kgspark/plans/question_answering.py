@@ -11,7 +11,7 @@ from ..operators.indexes import build_path_corpus
 from ..operators.traversal import follow_path
 
 
-def answer_by_traversal(starts: DataFrame, paths: DataFrame, triples: DataFrame, gold: DataFrame, max_hops: int = 3) -> DataFrame:
+def answer_by_traversal(starts: DataFrame, paths: DataFrame, triples: DataFrame, gold: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Follow the given paths from the question entities: candidate answers per question and how many of the gold
     answers are among them."""
     found = follow_path(starts, paths, triples, max_hops, max_results=None, resolve=False).select("qid", "entity").distinct()

@@ -335,7 +335,7 @@ def _(s, d):
 def _(s, d):
     """The way beyond the broadcast limit, with frequent terms split into parts."""
     index = J.bm25_index(doc_corpus(s, d), "split", rows_per_part=100)
-    return big(J.bm25_search(doc_questions(s, d), index, 20, "split", broadcast_rows=0))
+    return big(J.bm25_search(doc_questions(s, d), index, 20, "split"))
 
 
 @query("bm25_search_filled", sql("gold", body=f"""select q.qid, row_number() over (partition by q.qid order by score desc, path_id) as rank, path_id from (

@@ -144,7 +144,7 @@ def test_fallbacks_stop_after_enough_entities(spark):
     q = spark.createDataFrame([(1, 1)], "qid bigint, gid bigint")
     topic = spark.createDataFrame([(1, 1, "a")], "qid bigint, pos int, entity string")
     preds = spark.createDataFrame([(1, 1, "r -> q"), (1, 2, "s")], "qid bigint, rank int, path string")
-    run = lambda n: [e for (e,) in collect(T.retrieve_with_fallbacks(q, topic, preds, t, 2, n), "entity")]
+    run = lambda n: [e for (e,) in collect(T.retrieve_with_fallbacks(q, topic, preds, t, 2, stop_after=n), "entity")]
     assert run(4) == [f"e{i}" for i in range(5)]
     assert run(5) == [f"e{i}" for i in range(5)] + ["late"]
 
@@ -154,4 +154,4 @@ def test_question_without_topic_starts_at_first_subject(spark):
     q = spark.createDataFrame([(1, 1)], "qid bigint, gid bigint")
     none = spark.createDataFrame([], "qid bigint, pos int, entity string")
     preds = spark.createDataFrame([(1, 1, "r")], "qid bigint, rank int, path string")
-    assert collect(T.retrieve_with_fallbacks(q, none, preds, t, 1), "entity") == [("y",)]
+    assert collect(T.retrieve_with_fallbacks(q, none, preds, t, 1, stop_after=50), "entity") == [("y",)]

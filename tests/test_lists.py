@@ -143,8 +143,8 @@ def test_votes_and_answer_scores(spark):
     assert bag == {1: round(2 / 3, 6), 2: 0.5}
 
 
-@pytest.mark.parametrize("broadcast_rows,per_part", [(1000, 1000000), (0, 5)])
-def test_bm25_equals_the_formula(spark, broadcast_rows, per_part):
+@pytest.mark.parametrize("per_part", [1000000, 5])
+def test_bm25_equals_the_formula(spark, per_part):
     r = random.Random(2)
     docs = {i: [r.choice("abcdefgh") if r.random() < .7 else "hot" for _ in range(r.randrange(1, 9))] for i in range(60)}
     qs = {q: [r.choice("abcdefgh") for _ in range(3)] + ["hot"] * (q % 3) for q in range(12)}
@@ -162,7 +162,7 @@ def test_bm25_equals_the_formula(spark, broadcast_rows, per_part):
         want += [(q, k + 1, i) for k, (i, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5])]
     corpus = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "path_id bigint, path string")
     asked = spark.createDataFrame([(q, " ".join(t)) for q, t in qs.items()], "qid bigint, question string")
-    got = J.bm25_search(asked, J.bm25_index(corpus, "split", rows_per_part=per_part), 5, "split", broadcast_rows=broadcast_rows)
+    got = J.bm25_search(asked, J.bm25_index(corpus, "split", rows_per_part=per_part), 5, "split")
     assert rows(got, "qid", "rank", "path_id") == sorted(want)
 
 
@@ -222,3 +222,53 @@ def test_last_row_wins_and_positions_must_agree(spark):
 def test_top_per_does_not_gather_the_group_first(spark):
     plan = top_per(spark.range(100).selectExpr("id % 2 g", "id v"), ["g"], ["v"], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_a_run_without_hits_is_reported(spark):
+    good = spark.createDataFrame([(1, "a", 1), (2, "x", 1)], "qid long, path string, rank int")
+    bad = spark.createDataFrame([(1, "z", 1)], "qid long, path string, rank int")
+    gold = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, path string")
+    from kgspark.operators import metrics
+
+    rows = {r["run"]: r for r in metrics.compare_runs({"good": good, "bad": bad}, gold, [1]).collect()}
+    assert rows["bad"]["hits_1"] == 0 and rows["bad"]["mrr"] == 0 and rows["good"]["hits_1"] == 0.5
+
+
+def test_random_negatives_with_several_spellings(spark):
+    from kgspark.operators import training
+
+    corpus = spark.createDataFrame([(0, "A -> b"), (1, "a -> b"), (2, "a -> B"), (3, "c")], "path_id long, path string")
+    questions = spark.createDataFrame([(i,) for i in range(8)], "qid long")
+    exclude = spark.createDataFrame([(i, "a -> b") for i in range(8)], "qid long, path string")
+    got = training.random_negatives(questions, corpus, exclude, k=1).collect()
+    assert sorted((r["qid"], r["path"]) for r in got) == [(i, "c") for i in range(8)]
+
+
+def test_dense_search_keeps_text_ids(spark):
+    from kgspark.operators import retrieval
+
+    q = spark.createDataFrame([("q-0", [1.0, 0.0]), ("q-1", [0.0, 1.0])], "qid string, vec array<double>")
+    c = spark.createDataFrame([("p-a", [1.0, 0.0]), ("p-b", [0.0, 2.0]), ("p-c", [1.0, 0.0])], "path_id string, vec array<double>")
+    got = [(r["qid"], r["rank"], r["path_id"]) for r in retrieval.dense_search(q, c, 2).collect()]
+    assert sorted(got) == [("q-0", 1, "p-a"), ("q-0", 2, "p-c"), ("q-1", 1, "p-b"), ("q-1", 2, "p-a")]
+
+
+def test_matches_only_have_the_corpus_minimum(spark):
+    """Unmatched paths score 0: passing only the matches with the corpus size equals passing everything."""
+    from kgspark.operators import ranking
+
+    dense = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.2)], "qid long, path_id long, score double")
+    whole = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, 0.0)], "qid long, path_id long, score double")
+    some = whole.filter("score > 0")
+    take = lambda df: [(r["rank"], r["path_id"], round(r["score"], 9)) for r in df.collect()]
+    assert take(ranking.fuse_full_corpus(dense, some, 2, corpus_size=3)) == take(ranking.fuse_full_corpus(dense, whole, 2))
+
+
+def test_paths_of_any_length_are_followed(spark):
+    from kgspark.operators import traversal
+
+    triples = spark.createDataFrame([(0, i, f"n{i}", "r", f"n{i + 1}") for i in range(6)], "gid long, triple_idx int, subj string, rel string, obj string")
+    starts = spark.createDataFrame([(1, 0, "n0")], "qid long, gid long, entity string")
+    paths = spark.createDataFrame([(1, 0, ["r"] * 5), (1, 1, ["r"])], "qid long, path_id long, relations array<string>")
+    got = traversal.follow_path(starts, paths, triples, resolve=False).collect()
+    assert sorted((r["path_id"], r["entity"]) for r in got) == [(0, "n5"), (1, "n1")]
