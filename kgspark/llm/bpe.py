@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .core import query, table
+from .core import portions, query, table
 from .transducer import Transducer
 
 LEXICON_WORDS = 50_000
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", decoded: b
         lex = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = lex.encode(texts)
+            ids = [i for some in portions(texts) for i in lex.encode(some)]
             more = [pa.array([lex.decode(i) for i in ids], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), *more],
                                              ["row", "ids", "decoded"][: 2 + len(more)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,19 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+def portions(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in turn, about ``chars`` characters at a time (or one longer text): bounds what a worker holds of their words."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
