@@ -211,12 +211,13 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, shingle: int, percent: int)
     each = each.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     prefix = each.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    prefix = prefix.select("doc_id", "component", "n", F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("t")).filter("t.often > 1").select(
-        "doc_id", "component", "n", F.col("t.shingle").alias("shingle"))
-    prefix = cut_lineage(prefix)
+    shared = F.transform(F.filter(F.slice("s", F.lit(1), keep.cast("int")), lambda t: t["often"] > 1), lambda t: t["shingle"])
+    prefix = cut_lineage(prefix.select("doc_id", "component", "n", shared.alias("p")).select("*", F.explode("p").alias("shingle")))
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    return cut_lineage(a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
+    # a pair is made once, at the first shingle that both prefixes hold
+    first = F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.shingle")
+    return cut_lineage(a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits & first).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
