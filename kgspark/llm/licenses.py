@@ -104,7 +104,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     known = frame.select("license", F.array_distinct(_shingles(F.col("words"))).alias("s")).select("license", "s", *[_hashed(k) for k in range(HASHES)]).select("license", "s", *[F.array_min(f"h{k}").alias(f"m{k}") for k in range(HASHES)]).collect()
     must = sorted(set().union(*(needed_words(w) for w in split.values())))
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("(?iu)" + "|".join(map(re.escape, must))))
-    shingled = cut_lineage(some.select("doc_id", _shingles(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("s")).filter(F.size("s") > 0))
+    # written, so that no later step splits a text again
+    words = cut_lineage(some.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("words")))
+    shingled = cut_lineage(words.filter(F.size("words") >= SHINGLE).select("doc_id", _shingles(F.col("words")).alias("s")))
     hashed = shingled.select("doc_id", "s", *[_hashed(k) for k in range(HASHES)])
     hits = [_windows(r["license"], len(r["s"]), [r[f"m{k}"] for k in range(HASHES)]) for r in known]
     near = hashed.select("doc_id", "s", F.explode(F.concat(*hits)).alias("hit")).select("doc_id", "s", "hit.license", "hit.start")
