@@ -155,8 +155,8 @@ def pattern_totals(patterns: DataFrame) -> DataFrame:
     return patterns.agg(F.count(F.lit(1)).alias("patterns"), F.sum("example_count").alias("examples"))
 
 
-def graph_pattern_index(triples: DataFrame, listed: bool = True) -> DataFrame:
-    """Objects per (relation, subject). ``listed=False`` keeps one row per object, for graphs with hub subjects."""
+def graph_pattern_index(triples: DataFrame, listed: bool = False) -> DataFrame:
+    """Objects per (relation, subject), a row each; ``listed`` gathers them in one row, for graphs without hub subjects."""
     rows = triples.select("gid", "rel", "subj", "obj", "triple_idx")
     if not listed:
         return rows.distinct()

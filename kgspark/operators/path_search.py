@@ -132,8 +132,8 @@ def _stop_when_complete(found: DataFrame, goal: DataFrame, enough: int) -> DataF
     return found.join(long, "qid", "left_anti").unionByName(cut)
 
 
-def select_paths(paths: DataFrame, order: list[str], per_target: int = 3, total: int = 100) -> DataFrame:
-    """Shortest paths first, a few per last entity, no repeated text, a bounded number per question.
+def select_paths(paths: DataFrame, order: list[str], per_target: int | None = None, total: int | None = None) -> DataFrame:
+    """Shortest paths first, ``per_target`` per last entity, no repeated text, ``total`` per question; all without them.
 
     ``order`` names the columns that settle ties between paths of one length; both limits run before the shuffle too.
     """
@@ -144,7 +144,7 @@ def select_paths(paths: DataFrame, order: list[str], per_target: int = 3, total:
     return top_per(once, ["qid"], ["_hops", *order], total, "path_no").drop("_hops", "_target", "_k")
 
 
-def connecting_paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 3, max_paths: int = 10, resolve: bool = True) -> DataFrame:
+def connecting_paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 3, max_paths: int | None = None, resolve: bool = True) -> DataFrame:
     """``pairs(qid, gid, start, end)`` → ``(qid, no, entities, relations, path_string)``, shortest first, at most
     ``max_paths``. An entity is entered once per relation sequence; the search does not go beyond a hit."""
     if resolve:

@@ -19,9 +19,9 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def rerank(ranked: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """``scores(qid, path_id, score)`` replace the old ones."""
+    """``scores(qid, path_id, score)`` replace the old ones; a path without one stands behind all others."""
     cols = ranked.columns
-    return top_k(ranked.drop("score", "rank").join(scores.select("qid", "path_id", "score"), ["qid", "path_id"]), k).select(*cols)
+    return top_k(ranked.drop("score", "rank").join(scores.select("qid", "path_id", "score"), ["qid", "path_id"], "left"), k).select(*cols)
 
 
 def _bounds(df: DataFrame, *cols: str) -> DataFrame:
@@ -94,24 +94,25 @@ def fuse_two_views(a: DataFrame, b: DataFrame, top: int, wa: float = 0.5, wb: fl
 
 
 def blend_scores(ranked: DataFrame, extra: DataFrame, k: int, weight: float = 0.3) -> DataFrame:
-    """(1-w) · retrieval score + w · extra score scaled to 0…1. ``extra(qid, path_id, extra)``."""
-    r = ranked.join(extra.select("qid", "path_id", "extra"), ["qid", "path_id"])
-    s = (1 - weight) * F.col("score") + weight * _unit("extra")
+    """(1-w) · retrieval score + w · extra score scaled to 0…1. ``extra(qid, path_id, extra)``; a path without one counts as the lowest."""
+    r = ranked.join(extra.select("qid", "path_id", "extra"), ["qid", "path_id"], "left")
+    s = (1 - weight) * F.col("score") + weight * F.coalesce(_unit("extra"), F.lit(0.0))
     return top_k(r.join(_bounds(r, "extra"), "qid").withColumn("score", F.round(s, 12)), k).select(*ranked.columns)
 
 
 def ensemble_rank(ranked: DataFrame, extra: DataFrame, frequency: DataFrame, k: int,
                   weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
-    """Weighted sum of retrieval score, extra score and path frequency, each scaled to 0…1."""
-    r = ranked.join(extra.select("qid", "path_id", "extra"), ["qid", "path_id"]).join(
-        frequency.select("path_id", F.col("frequency").cast("double").alias("frequency")), "path_id")
-    s = weights[0] * _unit("score") + weights[1] * _unit("extra") + weights[2] * _unit("frequency")
+    """Weighted sum of retrieval score, extra score and path frequency, each scaled to 0…1; what a path lacks counts as the lowest."""
+    r = ranked.join(extra.select("qid", "path_id", "extra"), ["qid", "path_id"], "left").join(
+        frequency.select("path_id", F.col("frequency").cast("double").alias("frequency")), "path_id", "left")
+    s = weights[0] * _unit("score") + weights[1] * F.coalesce(_unit("extra"), F.lit(0.0)) + weights[2] * F.coalesce(_unit("frequency"), F.lit(0.0))
     return top_k(r.join(_bounds(r, "score", "extra", "frequency"), "qid").withColumn("score", F.round(s, 12)), k).select(*ranked.columns)
 
 
 def frequency_boost(ranked: DataFrame, frequency: DataFrame, k: int) -> DataFrame:
-    s = F.col("score") + F.least(F.lit(0.1), F.col("frequency") / 1000)
-    return top_k(ranked.join(frequency, "path_id").withColumn("score", F.round(s, 12)), k).select(*ranked.columns)
+    s = F.col("score") + F.coalesce(F.least(F.lit(0.1), F.col("frequency") / 1000), F.lit(0.0))  # least() passes over nulls
+    s = F.when(F.col("frequency").isNull(), F.col("score")).otherwise(s)
+    return top_k(ranked.join(frequency, "path_id", "left").withColumn("score", F.round(s, 12)), k).select(*ranked.columns)
 
 
 def keyword_boost(ranked: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
@@ -136,7 +137,7 @@ def ordered_dedupe(rows: DataFrame, key: Column, order: list[str], group: str =
     return kept.select(*rows.columns)
 
 
-def combine_paths(first: DataFrame, second: DataFrame, limit: int | None = 100, dedupe: bool = True) -> DataFrame:
+def combine_paths(first: DataFrame, second: DataFrame, limit: int | None = None, dedupe: bool = True) -> DataFrame:
     """First list, then second, without repeats (trimmed, lower case), up to ``limit``. Adds ``pos`` when limited."""
     rows = first.withColumn("_list", F.lit(0)).unionByName(second.withColumn("_list", F.lit(1)))
     if dedupe:
@@ -146,7 +147,7 @@ def combine_paths(first: DataFrame, second: DataFrame, limit: int | None = 100,
     return top_per(rows, ["qid"], ["_list", "rank"], limit, "pos").withColumnRenamed("_list", "list_no")
 
 
-def union_retrieval(question_list: DataFrame, second_list: DataFrame, cap: int = 15) -> DataFrame:
+def union_retrieval(question_list: DataFrame, second_list: DataFrame, cap: int) -> DataFrame:
     return combine_paths(question_list, second_list, cap)
 
 
@@ -196,27 +197,27 @@ def blend_fixed_range(ranked: DataFrame, extra: DataFrame, k: int, weight: float
     return top_k(r.withColumn("score", F.round(s, 12)), k).select(*ranked.columns)
 
 
-def promote_picks(ranked: DataFrame, picks: DataFrame, n: int = 5, pool: int = 10) -> DataFrame:
+def promote_picks(ranked: DataFrame, picks: DataFrame, n: int = 5, pool: int | None = None) -> DataFrame:
     """``picks(qid, picks array<int>)`` of 1-based ranks first (out of range ignored), then the old order, n in all."""
-    r = ranked.filter(F.col("rank") <= pool).join(picks.select("qid", "picks"), "qid", "left")
+    r = (ranked if pool is None else ranked.filter(F.col("rank") <= pool)).join(picks.select("qid", "picks"), "qid", "left")
     at = F.array_position(F.coalesce("picks", F.array().cast("array<int>")), F.col("rank"))
     r = r.withColumn("_at", F.when(at > 0, at))
     return top_per(r, ["qid"], [F.col("_at").asc_nulls_last(), F.col("rank")], n, "pos").drop("picks", "_at")
 
 
-def promote_single_pick(ranked: DataFrame, picks: DataFrame, pool: int = 10) -> DataFrame:
+def promote_single_pick(ranked: DataFrame, picks: DataFrame, pool: int | None = None) -> DataFrame:
     """One path per question: the picked rank, or rank 1 if the pick is missing or out of range."""
-    r = ranked.filter(F.col("rank") <= pool).join(picks.select("qid", "pick"), "qid", "left")
+    r = (ranked if pool is None else ranked.filter(F.col("rank") <= pool)).join(picks.select("qid", "pick"), "qid", "left")
     return first_per(r, ["qid"], [F.coalesce(F.col("rank") != F.col("pick"), F.lit(True)), F.col("rank")]).drop("pick")
 
 
-def cap_paths_per_target(paths: DataFrame, order: list[str], per_target: int = 3, total: int = 100) -> DataFrame:
+def cap_paths_per_target(paths: DataFrame, order: list[str], per_target: int | None = None, total: int | None = None) -> DataFrame:
     from .path_search import select_paths
 
     return select_paths(paths, order, per_target, total)
 
 
-def diverse_paths(paths: DataFrame, order: list[str], limit: int = 20, seed: int | None = None) -> DataFrame:
+def diverse_paths(paths: DataFrame, order: list[str], limit: int | None = None, seed: int | None = None) -> DataFrame:
     """Shortest path per distinct last entity, then the shortest ``limit``. With a seed, one of the three shortest."""
     hops, target = F.size("relations"), F.element_at("entities", -1)
     r = paths.filter(F.size("entities") > 0).withColumn("_hops", hops).withColumn("_target", target)

@@ -261,7 +261,7 @@ def _(spark, d):
 def _(spark, d):
     q, a = own_ends(spark, d)
     pairs = q.select("qid", "gid", F.col("entity").alias("start")).join(a.groupBy("qid").agg(F.min("entity").alias("end")), "qid")
-    return P.connecting_paths(pairs, K.subgraphs(spark, d)).select(
+    return P.connecting_paths(pairs, K.subgraphs(spark, d), max_paths=10).select(
         "qid", F.col("no").cast("bigint").alias("no"), text("entities").alias("entities"), "path_string")
 
 

@@ -191,7 +191,7 @@ def _(s, d):
     union all select qid, path_id, rank, 1 from ranked2 where rank <= 5) x group by qid, path_id) y) z where k <= 15"""))
 def _(s, d):
     a, b = lists(s, d)
-    return big(R.union_retrieval(a.filter("rank <= 4"), b.filter("rank <= 5")).select("qid", "pos", "path_id"))
+    return big(R.union_retrieval(a.filter("rank <= 4"), b.filter("rank <= 5"), 15).select("qid", "pos", "path_id"))
 
 
 _FIRST = "select qid, min(rank) first_rank from ranked join gold using (qid, path) group by qid"

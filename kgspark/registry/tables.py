@@ -162,7 +162,7 @@ def _(s, d):
 
 @query("graph_pattern_index", sql("subgraphs", body="select gid, rel, subj, string_agg(obj, '|' order by triple_idx) objects from subgraphs group by 1, 2, 3"))
 def _(s, d):
-    return I.graph_pattern_index(K.subgraphs(s, d)).select("gid", "rel", "subj", joined("objects").alias("objects"))
+    return I.graph_pattern_index(K.subgraphs(s, d), listed=True).select("gid", "rel", "subj", joined("objects").alias("objects"))
 
 
 # --- reports ---
