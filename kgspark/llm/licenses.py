@@ -1,25 +1,28 @@
-"""License scan: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
-
-All of it is DataFrame work. A text becomes its words (lower case, punctuation dropped), the words their five-word shingles. For each
-size of template, windows of that many shingles start every quarter of a window, so one of them overlaps a match by seven
-eighths or more. A window keeps one minimum per hash function, and each minimum is a band: a window that holds seven eighths of
-what ``CONTAINED`` of a template needs has Jaccard similarity 0.53 at least, so all ``HASHES`` bands miss it with probability
-(1 - 0.53) ** 24 < 2e-8; at full containment with under 1e-14. Windows that share a band with a template are widened by one
-window on each side, and count as a match if they hold ``CONTAINED`` of the template's shingles.
-
-Templates are few, so their band keys and shingles are part of the plan. Before the windows, texts are dropped that hold none of
-the words that every match must hold (``needed_words``): for each template these words touch so many shingles that no
-``CONTAINED`` of the rest exists. So this loses no match.
-
-Defined results: a null, empty or short text has no match; a template that stands in a text several times is one match, with its
-best and first place; repeated rows give repeated matches; an empty table gives an empty result; other columns may have any name.
+"""License scan: an index of the templates' shingles retrieves the places of a text, exact shingle containment verifies them.
+
+All of it is DataFrame work. A text becomes its words (lower case, punctuation dropped), the words their shingles of one, two and
+five words. These meet the shingles of all templates in one broadcast join, so every shared shingle is found and only shared ones are
+shuffled; min-hash bands would need 24 hashes per word and size of template, and could miss. A template of ``SHORT`` words or more
+matches where a stretch of three times its shingles (stretches start at each multiple of their number) holds ``CONTAINED`` of its
+five-word shingles. A shorter one has shingles of two words (or one), which must all stand in their order without a gap, since
+there one word more or less is another version.
+
+The templates are ``TEMPLATES``, the short notices of ``notices()``, and the paragraphs of the whole texts in ``license_texts``
+(``sections()``): each paragraph is a template of its own, so that a text with later clauses only is found too. Several templates have the
+same name; a match is one row per text and name. Relatives that differ in a few words (GPL versions) are all reported, each
+with its containment.
+
+Defined results: a null or empty text has no match; a template that stands in a text several times is one match, with its
+best containment and first place; repeated rows give repeated matches; an empty table gives an empty result; other columns may have any
+name; a template without words is ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+from collections.abc import Iterable
+from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,9 @@ from ..session import cut_lineage
 from .core import query, table
 
 SHINGLE = 5
+SHORT = 10  # words from which a template has shingles of SHINGLE words
 CONTAINED = 0.8
-HASHES = 24
+SECTION = 10  # words that a section of a whole text has at least
 WORDS = r"[\p{L}\p{N}]+(?:[.'\-][\p{L}\p{N}]+)*"
 # fixed values: short notices, and openings of public license texts
 TEMPLATES = {
@@ -51,73 +55,115 @@ TEMPLATES = {
     "MPL-2.0 (header)": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "ISC (text)": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
                   "permission notice appear in all copies.",
+    "GPL-2.0 (header)": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+                        "either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1 (header)": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+                         "either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0 (header)": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+                         "either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+                         "either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "Mozilla Public License, v. 2.0",
 }
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def notices() -> list[tuple[str, str]]:
+    """Name and text of the ways in which a license is named: what stands around them ("licensed under") does not matter."""
+    out = [("MIT", t) for t in ("MIT License", "MIT Licence", "MIT licensed", "licensed under MIT", "license MIT", "licence MIT", "SPDX-License-Identifier: MIT", "Expat License")]
+    for n, versions in (("Apache", ("2.0",)), ("Mozilla Public", ("1.1", "2.0")), ("Eclipse Public", ("1.0", "2.0")), ("Boost Software", ("1.0",)), ("Artistic", ("1.0", "2.0"))):
+        short = {"Apache": "Apache", "Mozilla Public": "MPL", "Eclipse Public": "EPL", "Boost Software": "BSL", "Artistic": "Artistic"}[n]
+        for v in versions:
+            said = {v, v.removesuffix(".0")}
+            forms = {f"{n} {w} {b}{x}" for w, x, b in product(("License", "Licence"), said, ("", "version ", "v", "v. ", "v "))} | {f"{short}-{v}"}
+            forms |= {f"{short} {b}{x}" for x, b in product(said, ("", "v", "version "))}
+            out += [(f"{short}-{v}", t) for t in forms]
+    for full, short, versions in (("General", "GPL", "1 2 3"), ("Lesser General", "LGPL", "2.1 3"), ("Library General", "LGPL", "2"), ("Affero General", "AGPL", "3")):
+        for v in versions.split():
+            name = f"{short}-{v if '.' in v else v + '.0'}"
+            said = {v, name.split("-")[1]}
+            forms = {f"GNU {full} Public {w} {b}{x}" for w, x, b in product(("License", "Licence"), said, ("", "version ", "v", "v. ", "v "))}
+            forms |= {f"version {x} of the GNU {full} Public License" for x in said} | {f"{short} {b}{x}" for x, b in product(said, ("", "v", "version ", "v. "))}
+            forms |= {f"{short}{b}{x}{e}" for x, b, e in product(said, ("-", "v", "-v"), ("", "+", "-only", "-or-later"))}
+            out += [(name, t) for t in forms]
+    for short, full in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            forms = {f"CC {short} {v}", f"CC-{short} {v}", f"CC-{short}-{v}", f"CC {short}-{v}", f"CC {short.replace('-', ' ')} {v}"}
+            forms |= {f"Creative Commons {f} {v}" for f in {full, full.replace("-", " "), full.replace("NonCommercial", "Non-Commercial").replace("ShareAlike", "Share Alike")}}
+            out += [(f"CC-{short}-{v}", t) for t in forms]
+    out += [("CC0-1.0", t) for t in ("CC0 1.0", "CC0-1.0", "Creative Commons Zero", "CC0 License", "licensed under CC0")]
+    for n in "23":
+        out += [(f"BSD-{n}-Clause", t) for t in (f"BSD {n}-Clause", f"BSD {n} Clause", f"BSD-{n}-Clause", f"{n}-Clause BSD", f"{n} Clause BSD")]
+    out += [("BSD", "BSD License"), ("BSD", "BSD licensed"), ("ISC", "ISC License"), ("ISC", "licensed under ISC"), ("ISC", "SPDX-License-Identifier: ISC"), ("Zlib", "zlib License"), ("0BSD", "Zero-Clause BSD"), ("0BSD", "SPDX-License-Identifier: 0BSD")]
+    out.append(("EPL-2.0 (header)", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"))
+    return out + [("Unlicense", "The Unlicense"), ("Unlicense", "SPDX-License-Identifier: Unlicense"), ("Unlicense", "released into the public domain under the Unlicense")]
+
+
+def sections() -> list[tuple[str, str]]:
+    """Name and text of the sections of the whole texts: paragraphs, with short ones joined; without those that ``TEMPLATES`` has."""
+    fixed = [set(shingles(template_words(t))) for t in TEMPLATES.values()]
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        parts, held = [], ""
+        for paragraph in re.split(r"\n\s*\n", path.read_text(encoding="utf-8")):
+            held += " " + paragraph
+            if len(template_words(held)) >= SECTION:
+                parts.append(held)
+                held = ""
+        if parts:
+            parts[-1] += " " + held
+        for part in parts:
+            own = set(shingles(template_words(part)))
+            if not any(len(own & f) >= CONTAINED * len(own) or len(own & f) >= CONTAINED * len(f) and len(f) > SHORT for f in fixed):
+                out.append((f"{path.stem} (text)", part))
+    return out
 
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.'\-][^\W_]+)*", text.lower())
 
 
-def needed_words(words: list[str]) -> set[str]:
-    """Words of a template that every text with ``CONTAINED`` of its shingles must hold at least one of: the longest ones, as many as it takes."""
-    shingles = list({tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
-    chosen: set[str] = set()
-    left = shingles
-    while left and len(left) >= math.ceil(CONTAINED * len(shingles)):
-        reach = Counter(w for s in left for w in set(s))
-        best = max(reach, key=lambda w: (len(w) > 5, reach[w], len(w), w))
-        chosen.add(best)
-        left = [s for s in left if best not in s]
-    return chosen
-
+def shingles(words: list[str]) -> list[str]:
+    """The shingles of a template: five words, or two (one) in a short one."""
+    k = SHINGLE if len(words) >= SHORT else min(2, len(words))
+    return [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if k else []
 
-def _shingles(words: Column) -> Column:
-    return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))).otherwise(
-        F.array().cast("array<bigint>"))
 
+def default_templates() -> list[tuple[str, str]]:
+    return [*TEMPLATES.items(), *notices(), *sections()]
 
-def _hashed(k: int) -> Column:
-    """Hash number k of every shingle, once per text; windows then take minima of slices."""
-    return F.transform("s", lambda x: F.xxhash64(x, F.lit(k))).alias(f"h{k}")
 
+def _places(words: Column, k: int) -> Column:
+    """``at, shingle`` of every shingle of k words."""
+    one = lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.array_join(F.slice(words, i, k), " ")).alias("shingle"))
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), one)).otherwise(F.array().cast("array<struct<at:int,shingle:bigint>>"))
 
-def _windows(license: str, size: int, minima: list[int]) -> Column:
-    """The windows of a template's size that share a band with it. A window of one shingle needs one hash only."""
-    def alike(start: Column) -> Column:
-        same = [F.array_min(F.slice(F.col(f"h{k}"), start, F.lit(size))) == F.lit(m) for k, m in enumerate(minima[: 1 if size == 1 else HASHES])]
-        out = same[0]
-        for x in same[1:]:
-            out = out | x
-        return out
 
-    starts = F.filter(F.sequence(F.lit(1), F.size("s"), F.lit(max(1, size // 4))), alike)
-    return F.transform(starts, lambda i: F.struct(F.lit(license).alias("license"), i.alias("start")))
+def _index(spark, templates: Iterable[tuple[str, str]]) -> DataFrame:
+    """``shingle, license, template, part, size, short``: ``part`` is the shingle's place in a short template, or its number among the distinct ones; ``size`` their count."""
+    rows = []
+    for i, (name, words) in enumerate(dict.fromkeys((n, tuple(template_words(t))) for n, t in templates)):
+        short, own = len(words) < SHORT, shingles(list(words))
+        own = own if short else list(dict.fromkeys(own))
+        rows += [(s, name, i, j, len(own), short) for j, s in enumerate(own)]
+    return spark.createDataFrame(rows, "text string, license string, template int, part int, size int, short boolean").select(F.xxhash64("text").alias("shingle"), "license", "template", "part", "size", "short")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, license, containment, at_word``: the templates that each text holds; ``at_word`` is the first word of the window (from 0)."""
-    spark = docs.sparkSession
-    split = {name: template_words(t) for name, t in (templates or TEMPLATES).items()}
-    split = {name: w for name, w in split.items() if len(w) >= SHINGLE}
-    # the templates' shingles and minima are computed by the same expressions; their number is that of the templates
-    frame = spark.createDataFrame([(n, w) for n, w in split.items()], "license string, words array<string>")
-    known = frame.select("license", F.array_distinct(_shingles(F.col("words"))).alias("s")).select("license", "s", *[_hashed(k) for k in range(HASHES)]).select("license", "s", *[F.array_min(f"h{k}").alias(f"m{k}") for k in range(HASHES)]).collect()
-    must = sorted(set().union(*(needed_words(w) for w in split.values())))
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("(?iu)" + "|".join(map(re.escape, must))))
-    # written, so that no later step splits a text again
-    words = cut_lineage(some.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("words")))
-    shingled = cut_lineage(words.filter(F.size("words") >= SHINGLE).select("doc_id", _shingles(F.col("words")).alias("s")))
-    hashed = shingled.select("doc_id", "s", *[_hashed(k) for k in range(HASHES)])
-    hits = [_windows(r["license"], len(r["s"]), [r[f"m{k}"] for k in range(HASHES)]) for r in known]
-    near = hashed.select("doc_id", "s", F.explode(F.concat(*hits)).alias("hit")).select("doc_id", "s", "hit.license", "hit.start")
-    held = None
-    for r in known:
-        size = len(r["s"])
-        wide = F.slice("s", F.greatest(F.lit(1), F.col("start") - size), 3 * size)
-        one = F.size(F.array_intersect(F.array(*map(F.lit, r["s"])), wide)) / size
-        held = F.when(F.col("license") == r["license"], one) if held is None else held.when(F.col("license") == r["license"], one)
-    found = near.select("doc_id", "license", "start", held.alias("containment"), F.xxhash64("s").alias("text")).filter(F.col("containment") >= CONTAINED)
-    return found.groupBy("doc_id", "text", "license").agg(F.max("containment").alias("containment"), (F.min("start") - 1).alias("at_word")).drop("text")
+    """``doc_id, license, containment, at_word``: the templates that each text holds; ``at_word`` is the first word (from 0) that it shares there."""
+    known = _index(docs.sparkSession, default_templates() if templates is None else templates.items())
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORDS), F.lit(0)).alias("words"))
+    each = words.select("row", "doc_id", F.inline(F.concat(*[_places(F.col("words"), k) for k in (1, 2, SHINGLE)])))
+    # written: numbers of rows must not be made twice
+    hits = cut_lineage(each.join(F.broadcast(known), "shingle").select("row", "doc_id", "license", "template", "part", "size", "short", "at"))
+    first = F.floor(F.col("at") / F.col("size")).cast("int")
+    stretch = F.when(F.col("short"), F.array(F.col("at") - F.col("part"))).otherwise(F.sequence(first - 2, first))
+    keys = ("row", "doc_id", "license", "template", "size", "short", "stretch")
+    parts = hits.withColumn("stretch", F.explode(stretch)).groupBy(*keys, "part").agg(F.min("at").alias("at"))
+    held = parts.groupBy(*keys).agg((F.count(F.lit(1)) / F.col("size")).alias("containment"), F.min("at").alias("at"))
+    found = held.filter(F.col("containment") >= F.when(F.col("short"), 1.0).otherwise(CONTAINED))
+    return found.groupBy("row", "doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("at_word")).drop("row")
 
 
 @query("op9_licenses")

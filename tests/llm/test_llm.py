@@ -286,6 +286,25 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_whole_texts_and_notices(spark):
+    body = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    mit = body["MIT"].split("\n\n")[-1]
+    want = [("some words licensed under the MIT License today", "MIT"), ("see CC BY-NC-SA 4.0 for terms", "CC-BY-NC-SA-4.0"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+            ("under the GNU Affero General Public License, version 3, as is", "AGPL-3.0"), ("a b " + mit, "MIT (text)"), ("released under CC0 1.0", "CC0-1.0")]
+    want += [("x y z " + body[n] + " and more", n + " (text)") for n in body]
+    want += [(body[n][len(body[n]) // 2:], n + " (text)") for n in ("Apache-2.0", "GPL-3.0", "BSD", "EPL-1.0", "LGPL-2.1", "Unlicense")]
+    got = defaultdict(set)
+    for r in licenses.scan(docs_of(spark, [t for t, _ in want])).collect():
+        got[r["doc_id"]].add(r["license"])
+    for i, (t, name) in enumerate(want):
+        assert name in got[i], (name, got[i], t[:80])
+    assert got[0] == {"MIT"} and got[1] == {"CC-BY-NC-SA-4.0"} and got[2] == {"GPL-2.0"}
+    twice = docs_of(spark, ["the BSD  License"] * 2)
+    assert [r["license"] for r in licenses.scan(twice.union(twice)).collect()] == ["BSD"] * 4
+    own = licenses.scan(docs_of(spark, ["foo gplx bar", "gply", "one GPLX two"]), {"own": "GPLX", "none": ""}).collect()
+    assert sorted((r["doc_id"], r["license"], r["containment"], r["at_word"]) for r in own) == [(0, "own", 1.0, 1), (2, "own", 1.0, 1)]
+
+
 def test_pipeline_stages_keep_the_columns(spark, texts):
     import corpus_pipeline
 
