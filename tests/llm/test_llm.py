@@ -261,6 +261,25 @@ def test_secrets(spark):
     assert not {120, 121, 122} & set(by) and secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_short_values_and_keys_without_digits(spark):
+    rng = random.Random(8)
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    want = {0: 'set password="Summer2024!" now', 1: 'password = "correct-Horse!battery$staple9"', 2: f"uses {key} here", 3: "Password: hunter2, then", 4: "a qwertyUIOPasdfghjkl b",
+            5: "pwd: token = 'x y'", 6: '{"secret": "p\\"q"}', 7: "DB_PASSWORD=pa$$w0rd!#", 8: "passwd=ab", 9: 'pwd="(x)" and "y"'}
+    value = {0: "Summer2024!", 1: "correct-Horse!battery$staple9", 2: key, 3: "hunter2", 4: "qwertyUIOPasdfghjkl", 5: "x y", 6: 'p\\"q', 7: "pa$$w0rd!#", 8: "ab", 9: "(x)"}
+    got = defaultdict(dict)
+    for r in secrets.findings(docs_of(spark, [want[i] for i in sorted(want)])).collect():
+        got[r["doc_id"]][r["candidate"]] = r
+        assert want[r["doc_id"]][r["at"] - 1:].startswith(r["candidate"]) and r["times"] == 1
+    for i in want:
+        assert value[i] in got[i], (i, set(got[i]))
+    assert {i: set(got[i]) for i in (0, 1, 2, 3, 6, 7, 8, 9)} == {i: {value[i]} for i in (0, 1, 2, 3, 6, 7, 8, 9)}
+    kinds = "abcdefghijkmnpqrstuvwxyzABCDEFGH23456789!#$%&*"
+    texts = [f'some words password = "{"".join(rng.choice(kinds) for _ in range(9))}" and more' for _ in range(80)] + ["we call donaudampfschifffahrt often and more" for _ in range(80)]
+    by = {r["doc_id"]: r["secret"] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert all(by[i] for i in range(80)) and not any(by[i] for i in range(80, 160))
+
+
 def test_licenses(spark):
     rng = random.Random(6)
     filler = [f"w{i}" for i in range(200)]
