@@ -1,8 +1,10 @@
 """Main text of web pages by consensus of the pages of a host.
 
 1. Every page is read once and each of its containers is scored: how much running text it holds directly in its blocks, less what
-   stands in links, and nothing for menus, headers, footers, sidebars, notices, adverts, forms and comments. The best container's
-   path (tags with their classes, digits generalised) is the page's vote.
+   stands in links, and nothing for menus, headers, footers, sidebars, notices, adverts, forms and comments. These are known by their
+   tags; words of an element's names only lower what it holds (``NAMED``). The best container's path (tags with their classes, digits
+   generalised) is the page's vote. Of the chosen container, inner elements with such names are left out if they hold no article or main and less
+   than half of its text outside links, unless nothing else is in it.
 2. Spark adds the votes per host. Votes are aggregated before they are shuffled, so a host with a third of all pages is no hot key.
    A host keeps its ``PATHS`` best paths.
 3. Pages meet their host's paths (aggregated to one small row per host) and are read again: the first path that the page has is its
@@ -42,6 +44,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
           "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTAINER = {"article", "main", "section", "div", "body", "td", "center", "blockquote"}
+NAMED = 0.3  # what text counts in elements whose names are of BOILERPLATE
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
 BOILERPLATE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|foot(?:er)?|form|head(?:er)?|legal|login|masthead|menu|meta|modal|nav\w*|"
                          r"newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s\d])", re.I)
@@ -55,7 +58,10 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
-        self.stack: list[tuple[str, str, bool]] = []  # tag, step of the path, hidden
+        self.stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, hidden, number of the element if its name is of BOILERPLATE (or -1)
+        self.holds: list[float] = []  # per such element the text outside links that it holds; no bound if an article
+        self.above: list[int] = []  # per such element the number of containers about it
+        self.under: list[tuple[int, ...]] = []  # per block the elements with such a name about it
         self.parts: list[str] = []
         self.linked = 0
         at, hidden = 0, 0
@@ -84,14 +90,18 @@ class Page:
 
     def _text(self, raw: str) -> None:
         self.parts.append(raw)
-        if any(t == "a" for t, _, _ in self.stack[-4:]):
+        if any(e[0] == "a" for e in self.stack[-4:]):
             self.linked += len(raw)
 
     def _break(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append((tuple(step for _, step, _ in self.stack if step), text, self.linked))
+                self.blocks.append((tuple(e[1] for e in self.stack if e[1]), text, self.linked))
+                names = tuple(e[3] for e in self.stack if e[3] >= 0)
+                self.under.append(names)
+                for i in names:
+                    self.holds[i] += max(len(text) - self.linked, 0)
             self.parts, self.linked = [], 0
 
     def _start(self, tag: str, attributes: str) -> int:
@@ -108,9 +118,19 @@ class Page:
                         break
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = " ".join(named.values())
-        hides = tag in SILENT or tag in ASIDE or (tag not in ("html", "body", "article", "main") and bool(names) and bool(BOILERPLATE.search(names)))
+        hides = tag in SILENT or tag in ASIDE
+        number = -1
+        if tag in ("article", "main"):
+            if not any(e[2] for e in self.stack):
+                for e in self.stack:
+                    if e[3] >= 0:
+                        self.holds[e[3]] = float("inf")
+        elif not hides and tag not in ("html", "body") and names and BOILERPLATE.search(names):
+            number = len(self.holds)
+            self.holds.append(0)
+            self.above.append(sum(bool(e[1]) for e in self.stack))
         step = ".".join([tag, *sorted(DIGITS.sub("#", named.get("class", "")).split())]) if tag in CONTAINER else ""
-        self.stack.append((tag, step, hides))
+        self.stack.append((tag, step, hides, number))
         return hides - less
 
     def _end(self, tag: str) -> int:
@@ -122,17 +142,18 @@ class Page:
                     gone = self.stack[i:]
                     del self.stack[i:]
                 else:
-                    if any(t not in INLINE for t, _, _ in self.stack[i + 1 :]):
+                    if any(e[0] not in INLINE for e in self.stack[i + 1 :]):
                         return 0
                     gone = [self.stack.pop(i)]
-                return sum(h for _, _, h in gone)
+                return sum(e[2] for e in gone)
         return 0
 
     def scores(self) -> Counter:
         """Per path its running text: what stands in its blocks, and a part of what its inner containers hold."""
         found: Counter = Counter()
-        for path, text, linked in self.blocks:
+        for (path, text, linked), names in zip(self.blocks, self.under):
             worth = max(len(text) - 2 * linked, 0) * (1.5 if any(step.split(".")[0] in ("article", "main") for step in path) else 1.0)
+            worth *= NAMED if any(self.holds[i] < float("inf") for i in names) else 1.0
             for depth in range(len(path), 0, -1):
                 found[path[:depth]] += worth
                 worth *= 0.9  # an outer container holds the same text and more that is not the article
@@ -143,10 +164,12 @@ class Page:
         return min(found, key=lambda p: (-found[p], len(p), p)) if found else None
 
     def text(self, path: tuple[str, ...] | None) -> str:
-        """All blocks below the path."""
-        if path is None:
-            return "\n".join(t for _, t, _ in self.blocks)
-        return "\n".join(t for p, t, _ in self.blocks if p[: len(path)] == path)
+        """All blocks below the path, without what is boilerplate by name in it."""
+        path = path or ()
+        own = [(t, n, names) for (p, t, n), names in zip(self.blocks, self.under) if p[: len(path)] == path]
+        whole = sum(max(len(t) - n, 0) for t, n, _ in own)
+        kept = [t for t, _, names in own if not any(self.above[i] >= len(path) and 2 * self.holds[i] < whole for i in names)]
+        return "\n".join(kept or [t for t, _, _ in own])
 
 
 def votes(pages: DataFrame, html_col: str = "html", host_col: str = "host") -> DataFrame:

@@ -243,6 +243,21 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_do_not_hide_articles():
+    story = "<p>" + "The article has a long paragraph of running text. " * 4 + "</p>"
+    text = " ".join(("The article has a long paragraph of running text. " * 4).split())
+    for name in ("has-sidebar", "container with-sidebar", "no-sidebar", "page-with-nav", "elementor-widget-text-editor", "post legal"):
+        page = html_text.Page(f'<body><div class="{name}"><h1>Head</h1>{story}</div><div class="ad"><p>Buy now</p></div></body>')
+        assert page.text(page.best()) == "Head\n" + text, name
+    short = html_text.Page('<body><div class="with-nav"><article><p>Short.</p></article></div><div><p>' + "Other text. " * 20 + "</p></div></body>")
+    assert "Short." in short.text(None)
+    assert html_text.Page('<div class="notice"><p>Only this</p></div>').text(None) == "Only this"
+    talk = html_text.Page(f'<body><div class="wrap"><div class="post">{story}</div></div><div class="comments"><p>{"Me too, I say. " * 8}</p></div></body>')
+    assert talk.text(talk.best()) == text
+    inner = html_text.Page(f'<body class="x"><article>{story}<div class="share"><p>Share it</p></div></article></body>')
+    assert inner.text(inner.best()) == text
+
+
 def test_secrets(spark):
     rng = random.Random(4)
 
