@@ -5,10 +5,11 @@
    tags; words of an element's names only lower what it holds (``NAMED``). The best container's path (tags with their classes, digits
    generalised) is the page's vote. Of the chosen container, inner elements with such names are left out if they hold no article or main and less
    than half of its text outside links, unless nothing else is in it.
-2. Spark adds the votes per host. Votes are aggregated before they are shuffled, so a host with a third of all pages is no hot key.
-   A host keeps its ``PATHS`` best paths.
-3. Pages meet their host's paths (aggregated to one small row per host) and are read again: the first path that the page has is its
-   main text; a page with none of them falls back to its own best container.
+2. Spark adds the votes per host and path. Votes are aggregated before they are shuffled, so a host with a third of all pages is no hot key.
+   All paths with votes are kept.
+3. The containers of a page meet the votes of their paths by (host, path), in ``SALTS`` parts. The path with the largest product of the
+   page's own score and the logarithm of the votes is its main text, and the page is read again for it. Every page votes for a path of its
+   own, so no page is without one unless it has no container at all.
 
 A block ends at a block-level tag; ``br`` is white space inside it. Character references are decoded; white space inside a block
 becomes one space; blocks are joined by a line break. Unclosed and stray tags are tolerated: an end tag closes the nearest open one
@@ -21,6 +22,7 @@ name; ties go to the smaller path.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -31,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.numbering import top_per
 from ..session import cut_lineage
 from .core import query, table
 
-PATHS = 8  # kept per host
+SALTS = 16  # parts that the pages of one host and path are dealt to
 # fixed values: elements of the HTML standard by kind, and common names of parts that are not the article
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "select", "textarea", "button", "title"}
 RAW = {"script", "style", "textarea", "title"}
@@ -172,57 +173,49 @@ class Page:
         return "\n".join(kept or [t for t, _, _ in own])
 
 
-def votes(pages: DataFrame, html_col: str = "html", host_col: str = "host") -> DataFrame:
-    """``host, path, pages, worth``: how many pages of a host have the path as their best container, and the text in it."""
+def candidates(pages: DataFrame, html_col: str = "html", host_col: str = "host") -> DataFrame:
+    """``host, digest, path, score, best``: every container path of every page; the best one is its vote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        worth: Counter = Counter()
-
-        def handed() -> pa.RecordBatch:
-            rows = [(h, p, n, worth[h, p]) for (h, p), n in seen.items()]
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "pages", "worth"])
-            seen.clear()
-            worth.clear()
-            return out
-
+        names = ["host", "digest", "path", "score", "best"]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_())
         for batch in batches:
+            rows = []
             for host, source in zip(batch.column(0), batch.column(1)):
-                page = Page(source.as_py() or "")
-                best = page.best()
-                if best is not None:
-                    key = (host.as_py(), " ".join(best))
-                    seen[key] += 1
-                    worth[key] += len(page.text(best))
-            if len(seen) > 100_000:
-                yield handed()
-        yield handed()
+                text = source.as_py() or ""
+                page = Page(text)
+                found, best = page.scores(), page.best()
+                digest = hashlib.sha256(text.encode()).hexdigest()
+                rows += [(host.as_py(), digest, " ".join(p), float(n), p == best) for p, n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    return pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, digest string, path string, score double, best boolean")
+
 
-    parts = pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, pages long, worth long")
-    return parts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("worth").alias("worth"))
+def votes(found: DataFrame) -> DataFrame:
+    """``host, path, pages``: how many pages of a host have the path as their best container."""
+    return found.filter("best").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def host_paths(counted: DataFrame, keep: int = PATHS) -> DataFrame:
-    """``host, paths``: the best paths of each host, best first."""
-    best = top_per(counted, ["host"], [F.col("pages").desc(), F.col("worth").desc(), F.col("path")], keep)
-    return best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("r")).select("host", F.col("r.path").alias("paths"))
+def chosen(found: DataFrame) -> DataFrame:
+    """``host, digest, path``: one path per page, by votes and its own score."""
+    salted = votes(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = found.select("host", "digest", "path", "score", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["host", "path", "salt"])
+    worth = F.round(F.col("score") * F.log1p("pages"), 6)
+    return each.groupBy("host", "digest").agg(F.min(F.struct((-worth).alias("worth"), (-F.col("pages")).alias("pages"), "path")).alias("first")).select("host", "digest", "first.path")
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """``row`` (the other columns of ``pages``) and ``text``."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     known = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("row"), F.col(html_col).alias("html"), host.alias("host"))
-    paths = cut_lineage(host_paths(votes(known)))
-    joined = known.join(paths, "host", "left").select("row", "html", "paths")
+    paths = cut_lineage(chosen(cut_lineage(candidates(known))))
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    joined = known.withColumn("digest", digest).join(paths, ["host", "digest"], "left").select("row", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for source, paths in zip(batch.column(1), batch.column(2)):
-                page = Page(source.as_py() or "")
-                has = {p[:d] for p, _, _ in page.blocks for d in range(1, len(p) + 1)}
-                path = next((t for p in paths.as_py() or () if (t := tuple(p.split(" "))) in has), None)
-                out.append(page.text(path if path is not None else page.best()))
+            out = [Page(s.as_py() or "").text(tuple(p.as_py().split(" ")) if p.is_valid else None) for s, p in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
     return joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))

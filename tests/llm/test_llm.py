@@ -258,6 +258,20 @@ def test_html_names_do_not_hide_articles():
     assert inner.text(inner.best()) == text
 
 
+def test_html_layouts_of_one_host(spark):
+    def page(n, kind, teaser=""):
+        return f'<body><div class="{teaser or "x"}"><p>Teaser {n}.</p></div><div class="{kind}"><p>{f"Article {n} in its own container. " * 5}</p></div></body>'
+
+    kinds = [f"layout-{c}" for c in "abcdefghijkl"]  # more than the eight paths that a host once kept
+    sources = [page(n, kinds[0]) for n in range(30)] + [page(100 + n, k, kinds[0]) for n, k in enumerate(kinds[1:])]
+    # a page with a longer container of its own follows the host
+    sources.append('<body><div class="layout-a"><p>' + "The article of this page. " * 5 + '</p></div><div class="once"><p>' + "Me too and more. " * 10 + "</p></div></body>")
+    rows = [(i, "http://y.org/" + str(i) if i % 2 else None, s) for i, s in enumerate(sources[:-1])] + [(len(sources) - 1, None, sources[-1])]
+    got = {r["row"]["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(sources) and all(got[i].startswith("Article") for i in range(len(sources) - 1)), got
+    assert got[len(sources) - 1].startswith("The article of this page.")
+
+
 def test_secrets(spark):
     rng = random.Random(4)
 
