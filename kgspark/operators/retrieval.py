@@ -201,10 +201,11 @@ def small_corpus_bypass(questions: DataFrame, corpus: DataFrame, search, n: int
 
 
 def retrieve_filter_topk(ranked: DataFrame, k: int, threshold: float | None = None, relations: list[str] | None = None,
-                         qtypes: DataFrame | None = None, frequency: DataFrame | None = None, over: int = 3) -> DataFrame:
-    """From an over-retrieved list (``over`` · k when filtering) to the final k: score, relation and hop filters, boost."""
+                         qtypes: DataFrame | None = None, frequency: DataFrame | None = None, over: int | None = None) -> DataFrame:
+    """From an over-retrieved list (when filtering ``over`` · k, all without it) to the final k: score, relation and hop filters, boost."""
     filtering = relations is not None or qtypes is not None
-    r = ranked.filter(F.col("rank") <= (over * k if filtering else k)) if "rank" in ranked.columns else ranked
+    first = k if not filtering else None if over is None else over * k
+    r = ranked.filter(F.col("rank") <= first) if "rank" in ranked.columns and first is not None else ranked
     if threshold is not None:
         r = min_score(r, threshold)
     if relations is not None:
@@ -220,19 +221,19 @@ def hyde_text(question: Column, hypothetical: Column, append: bool = True) -> Co
 
 
 def candidate_entities(questions: DataFrame, topics: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int,
-                       top_paths: int = 10, cap: int = 25, fallback: bool = True) -> DataFrame:
-    """Entities along the top paths in path order without repeats, the one-hop fallback, the first ``cap``."""
-    per = follow_path_flexible(topics, ranked.filter(F.col("rank") <= top_paths), triples, max_hops)
+                       top_paths: int | None = None, cap: int | None = None, fallback: bool = True) -> DataFrame:
+    """Entities along the top paths in path order without repeats, the one-hop fallback, the first ``cap`` (all without one)."""
+    per = follow_path_flexible(topics, ranked if top_paths is None else ranked.filter(F.col("rank") <= top_paths), triples, max_hops)
     once = first_per(per.select("qid", "entity", "rank", "trail"), ["qid", "entity"], ["rank", "trail"])
     # the fallback only concerns lists of fewer than three, so cutting first changes nothing
     found = top_per(once, ["qid"], ["rank", "trail", "entity"], cap, "pos").select("qid", "pos", "entity")
     if fallback:
         found = one_hop_keyword_fallback(questions, topics, found, triples)
-    return found.filter(F.col("pos") <= cap)
+    return found if cap is None else found.filter(F.col("pos") <= cap)
 
 
-def path_entities(topics: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int, per_path: int = 5) -> DataFrame:
-    """The first entities (ignoring case) along each ranked path: ``(qid, rank, path, no, entity)``."""
+def path_entities(topics: DataFrame, ranked: DataFrame, triples: DataFrame, max_hops: int, per_path: int | None = None) -> DataFrame:
+    """The first ``per_path`` entities (all without it; ignoring case) along each ranked path: ``(qid, rank, path, no, entity)``."""
     per = follow_path_flexible(topics, ranked, triples, max_hops).withColumn("low", F.lower("entity"))
     once = first_per(per, ["qid", "rank", "low"], ["trail", "entity"])
     return top_per(once, ["qid", "rank"], ["trail", "entity"], per_path, "no").select("qid", "rank", "path", "no", "entity")
@@ -251,10 +252,10 @@ def direct_selection(ranked: DataFrame, gold: DataFrame, entities: DataFrame) ->
     return ranked.select("qid").distinct().join(text, "qid", "left").select("qid", F.array_join(F.transform("s", lambda x: x["entity"]), ", ").alias("answer"))
 
 
-def entities_from_paths(ranked: DataFrame, gold: DataFrame | None = None, top_paths: int = 10, cap: int = 15) -> DataFrame:
-    """Entities written in the path texts, in order, without repeats, the first ``cap``. With gold (analysis only) just
+def entities_from_paths(ranked: DataFrame, gold: DataFrame | None = None, top_paths: int | None = None, cap: int | None = None) -> DataFrame:
+    """Entities written in the path texts, in order, without repeats, the first ``cap`` (all without one). With gold (analysis only) just
     those of the first matching top-five path."""
-    r = ranked.filter(F.col("rank") <= top_paths)
+    r = ranked if top_paths is None else ranked.filter(F.col("rank") <= top_paths)
     if gold is not None:
         low = gold.select("qid", F.lower("path").alias("low")).distinct()
         hit = r.filter(F.col("rank") <= 5).withColumn("low", F.lower("path")).join(low, ["qid", "low"], "left_semi")

@@ -204,9 +204,9 @@ def one_hop_triggers(question: Column) -> Column:
 
 
 def one_hop_keyword_fallback(questions: DataFrame, topics: DataFrame, found: DataFrame, triples: DataFrame,
-                             fewer_than: int = 3, total: int = 20) -> DataFrame:
+                             fewer_than: int = 3, total: int | None = None) -> DataFrame:
     """``found(qid, pos, entity)`` plus, for questions with few entities, one-hop objects whose relation the question asks
-    for, in triple order, up to ``total`` together. Questions with enough entities pass through."""
+    for, in triple order, up to ``total`` together (all without it). Questions with enough entities pass through."""
     counts = found.groupBy("qid").agg(F.count(F.lit(1)).alias("have"))
     poor = questions.select("qid", "gid", one_hop_triggers(F.col("question")).alias("cues")).join(counts, "qid", "left").withColumn(
         "have", F.coalesce("have", F.lit(0))).filter((F.col("have") < fewer_than) & (F.size("cues") > 0))
@@ -215,6 +215,7 @@ def one_hop_keyword_fallback(questions: DataFrame, topics: DataFrame, found: Dat
     asked = near.filter(F.exists("cues", lambda c: F.contains(F.lower("rel"), c)) & ~is_machine_id(F.col("obj")))
     fresh = asked.select("qid", "have", F.col("obj").alias("entity"), "triple_idx").groupBy("qid", "have", "entity").agg(
         F.min("triple_idx").alias("triple_idx")).join(found.select("qid", "entity"), ["qid", "entity"], "left_anti")
-    more = top_per(fresh, ["qid"], ["triple_idx", "entity"], total, "n").filter(F.col("n") + F.col("have") <= total)
+    more = top_per(fresh, ["qid"], ["triple_idx", "entity"], total, "n")
+    more = more if total is None else more.filter(F.col("n") + F.col("have") <= total)
     return found.select("qid", F.col("pos").cast("bigint").alias("pos"), "entity").unionByName(
         more.select("qid", (F.col("have") + F.col("n")).cast("bigint").alias("pos"), "entity"))

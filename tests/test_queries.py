@@ -51,3 +51,18 @@ def test_entry_has_rows(spark):
 
 def test_every_twin_belongs_to_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_lists_have_no_default_caps(spark):
+    from kgspark.operators import retrieval
+
+    n = 40
+    topics = spark.createDataFrame([(1, 1, "hub")], "qid long, gid long, entity string")
+    triples = spark.createDataFrame([(1, i, "hub", "a.b.c", f"leaf {i:02}") for i in range(n)], "gid long, triple_idx long, subj string, rel string, obj string")
+    ranked = spark.createDataFrame([(1, 1, "a.b.c")], "qid long, rank int, path string")
+    questions = spark.createDataFrame([(1, 1, "which leaf")], "qid long, gid long, question string")
+    assert retrieval.candidate_entities(questions, topics, ranked, triples, 1).count() == n
+    assert retrieval.path_entities(topics, ranked, triples, 1).count() == n
+    written = spark.createDataFrame([(1, i + 1, f"hub -> a.b.c -> leaf {i:02}") for i in range(n)], "qid long, rank int, path string")
+    few, many = retrieval.entities_from_paths(written, None, 10, 15).count(), retrieval.entities_from_paths(written).count()
+    assert few < n <= many
