@@ -206,9 +206,14 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     return out.select(*[(part if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
+def taken(made) -> DataFrame:
+    """A row per input row: ``doc_id, size, source_size, target, taken``. Rows without words have no place of their own, so they are not grouped."""
+    keys = ["row", "start", "doc_id", "size", "source_size", "target"]
+    none = made.documents.select(*keys, F.lit(0).cast("long").alias("words"))
+    both = none.filter("size > 0").unionByName(made.pieces.select(*keys, "words"))
+    return both.groupBy(*keys).agg(F.sum("words").alias("taken")).unionByName(none.filter("size = 0").withColumnRenamed("words", "taken")).drop("row", "start")
+
+
 @query("op2_mixing")
 def op2(spark, sf_dir):
-    made = mix(table(spark, sf_dir, "documents"))
-    keys = ["row", "start", "doc_id", "size", "source_size", "target"]
-    both = made.documents.select(*keys, F.lit(0).cast("long").alias("words")).unionByName(made.pieces.select(*keys, "words"))
-    return both.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("row", "start")
+    return taken(mix(table(spark, sf_dir, "documents")))

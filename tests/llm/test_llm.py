@@ -84,6 +84,12 @@ def test_mixing_meets_targets(spark, texts):
     assert mixing.mix(empty(spark)).documents.count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_mixing_reports_every_row_without_words(spark):
+    docs = spark.createDataFrame([(1, t, "en", "b", 0, "r", "d", "w") for t in ("", "", "", None, None, " ")] + [(2, "one two three", "en", "b", 0, "r", "d", "w")], SCHEMA)
+    got = Counter((r["doc_id"], r["size"]) for r in mixing.taken(mixing.mix(docs, block_words=50, shard_words=500)).collect())
+    assert got == {(1, 0): 6, (2, 3): 1}
+
+
 def test_shard_quotas_split_every_block_once(spark):
     q = spark.createDataFrame([(1, 70, 7000), (2, 30, 3000), (3, 1, 100)], "source_no int, quota long, words long")
     rows = mixing.shard_quotas(q, 1, 1300).collect()
