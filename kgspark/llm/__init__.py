@@ -12,4 +12,4 @@ def load_all():
     return dict(core.QUERIES), dict(core.ORACLES)
 
 
-TOPICS = ["exact_dedup", "mixing", "bpe", "language", "near_dedup", "metric_search", "html_text", "secrets", "licenses", "suffix_dedup"]
+TOPICS = ["exact_dedup", "mixing", "bpe", "language", "near_dedup", "metric_search", "html_text", "secrets", "licenses", "suffix_dedup", "simhash", "whitening", "conversations"]
