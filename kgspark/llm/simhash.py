@@ -10,11 +10,13 @@ fingerprints are one class before anything is joined.
 
 Only which classes hang together is asked, so a bucket (the classes of one variant) never gives all its pairs:
 
-1. One centre a bucket, the class that has most mates in all; members within reach of it are links. Links give components.
-2. Buckets that still hold several components take a new centre among the members outside their largest component, and so on, as long
-   as that settles a good part of them.
-3. What is then open, members outside the largest component of their bucket, meets all members of the bucket. The distance is a condition
-   of the join, so a row is made only for a link between different components. This makes the result exact.
+1. The smallest id of a bucket is its centre; members within reach of it are links. Links give components.
+2. In buckets that still hold several components, the members outside the largest one meet all members. Distance, different components and
+   "the first variant that both share" are conditions of the join, so a row is made only for a true link, once. This makes the
+   result exact.
+
+Each step is one shuffle of 64 short rows a class; what shares a bucket by chance is compared where it lies and never written. With three
+segments a bucket's key has 20 bits, so chance meetings stay cheap up to some ten million different texts and then grow with the square.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; with fewer words than a shingle the whole sequence is the one
 shingle; without words (or null) the fingerprint is zero and links like any other; a row with a null id has a fingerprint, no links and no
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -85,41 +87,44 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _shared_place(x: Column, bits: int) -> Column:
+    """The least position whose variant two marks share, from the exclusive or of both; null if they share none."""
+    places = []
+    for low, high in segments(bits):
+        mask = (1 << high) - (1 << low)
+        part = x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        # of a single bit: its position, through the ones below it
+        at = F.when(part == 1, 0).otherwise(1 + F.bit_count(F.shiftrightunsigned(part, 1) - 1))
+        places.append(F.when(part == 0, low).when(F.bit_count(part) == 1, at))
+    return F.coalesce(*places)
+
+
 def linked(marks: DataFrame, bits: int = 4) -> DataFrame:
     """``mark, component`` (the smallest ``rep`` reachable) of ``marks(mark, rep)``, one row per mark; marks without links are absent."""
+    bucket = Window.partitionBy("place", "rest")
     each = marks.select("rep", "mark", F.posexplode(variants("mark", bits)).alias("place", "rest"))
-    shared = each.groupBy("place", "rest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut_lineage(each.join(shared, ["place", "rest"]))
-    mates = members.groupBy("rep").agg(F.sum("n").alias("mates"))
-    members = cut_lineage(members.drop("n").join(mates, "rep"))
-    open_members, links, before = members, None, None
-    while True:
-        centres = open_members.groupBy("place", "rest").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("mark").alias("middle")), F.struct(-F.col("mates"), F.col("rep"))).alias("c"))
-        near = members.join(centres.select("place", "rest", "c.*"), ["place", "rest"]).filter((F.col("rep") != F.col("centre")) & (_distance("mark", "middle") <= bits))
-        found = near.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-        links = cut_lineage(found if links is None else links.unionByName(found).distinct())
-        named = components(links, "a", "b")
-        members, open_members = _open(members.drop("component"), named)
-        left = open_members.count()
-        if not left or before is not None and left > 0.7 * before:
-            break
-        before = left
-    if left:
-        o, m = open_members.alias("o"), members.alias("m")
-        meets = (F.col("o.place") == F.col("m.place")) & (F.col("o.rest") == F.col("m.rest"))
-        rest = o.join(m, meets & (F.col("o.component") != F.col("m.component")) & (_distance("o.mark", "m.mark") <= bits))
-        links = cut_lineage(links.unionByName(rest.select(F.col("o.rep").alias("a"), F.col("m.rep").alias("b")).distinct()))
-        named = components(links, "a", "b")
-    return marks.join(named.withColumnRenamed("node", "rep"), "rep").select("mark", "component")
-
-
-def _open(members: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets with several components, and those of them outside the largest component of their bucket."""
-    placed = cut_lineage(members.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    sizes = placed.groupBy("place", "rest", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("place", "rest").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("largest"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    placed = cut_lineage(placed.join(largest.drop("held"), ["place", "rest"]))
-    return placed.drop("largest"), placed.filter("component <> largest").drop("largest")
+    starred = each.withColumn("centre", F.first(F.struct("rep", "mark")).over(bucket.orderBy("rep")))
+    stars = starred.filter((F.col("rep") != F.col("centre.rep")) & (_distance("mark", "centre.mark") <= bits))
+    links = cut_lineage(stars.select(F.col("rep").alias("a"), F.col("centre.rep").alias("b")).distinct())
+    named = components(links, "a", "b").withColumnRenamed("node", "rep")
+    placed = cut_lineage(marks.select("mark", "rep").join(named, "rep", "left").select("mark", "rep", F.coalesce("component", "rep").alias("component")))
+    links = cut_lineage(links.unionByName(_cross_links(placed, bits)))
+    named = components(links, "a", "b").withColumnRenamed("node", "rep")
+    return marks.join(named, "rep").select("mark", "component")
+
+
+def _cross_links(placed: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: all links between different components of ``placed(mark, rep, component)``, each once."""
+    bucket = Window.partitionBy("place", "rest")
+    each = placed.select("rep", "mark", "component", F.posexplode(variants("mark", bits)).alias("place", "rest"))
+    sized = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("place", "rest", "component")))
+    told = sized.select("*", F.max(F.struct("n", "component")).over(bucket).alias("most"), F.min("component").over(bucket).alias("low"), F.max("component").over(bucket).alias("high"))
+    mixed = told.filter("low <> high").select("rep", "mark", "component", "place", "rest", (F.col("component") == F.col("most.component")).alias("main"))
+    o, m = mixed.filter("not main").alias("o"), mixed.alias("m")
+    x = F.col("o.mark").bitwiseXOR(F.col("m.mark"))
+    once = (F.col("m.main") | (F.col("o.rep") < F.col("m.rep"))) & (_shared_place(x, bits) == F.col("o.place"))
+    meets = (F.col("o.place") == F.col("m.place")) & (F.col("o.rest") == F.col("m.rest")) & (F.col("o.component") != F.col("m.component"))
+    return o.join(m, meets & (F.bit_count(x) <= bits) & once).select(F.col("o.rep").alias("a"), F.col("m.rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
