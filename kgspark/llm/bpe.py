@@ -14,6 +14,7 @@ row per row; an empty table gives an empty result; other columns may have any na
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -34,6 +35,8 @@ from .transducer import Transducer
 
 LEXICON_WORDS = 50_000
 RECENT = 150_000
+RECENT_CHARS = 8 << 20  # and of at most so many characters
+PORTION = 1 << 18  # characters that a worker encodes at a time
 FLUSH = 200_000  # distinct words that a counting task holds before it hands them on
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 PATTERN = regex.compile(CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -168,7 +171,7 @@ class Lexicon:
             self.piece_bytes = np.frombuffer(b"".join(self.vocabulary.pieces), np.uint8)
             self.piece_first = np.cumsum(self.piece_sizes) - self.piece_sizes
             self.split = re.compile("|".join(map(re.escape, sorted(self.vocabulary.added, key=len, reverse=True)))) if self.vocabulary.added else None
-        self.words = {}
+        self.words, self.chars = {}, 0
         self.flat, self.used = np.concatenate([self.ids, np.zeros(4 * RECENT, np.uint32)]), len(self.ids)
         self.first, self.count = (np.zeros(len(self.sizes) + RECENT, np.int64) for _ in range(2))
         self.entries = len(self.sizes)
@@ -178,6 +181,7 @@ class Lexicon:
     def _learn(self, new: list[str]) -> None:
         """Give each new word an entry: its lexicon entry if it has one, else one of its own, merged now."""
         raw = [w.encode() for w in new]
+        self.chars += sum(map(len, new))
         for word, b, place in zip(new, raw, self.automaton.places(raw).tolist()):
             if place < 0:
                 place = self._enter(self.vocabulary.merge(b))
@@ -195,7 +199,7 @@ class Lexicon:
         return self.entries - 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > RECENT or not hasattr(self, "automaton"):
+        if len(self.words) > RECENT or not hasattr(self, "automaton") or self.chars > RECENT_CHARS:
             self._start()
         added = self.vocabulary.added
         split: list[list[str]] = []
@@ -261,22 +265,32 @@ def _ship(spark: SparkSession, content: bytes) -> str:
     return name
 
 
-def encode(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``docs`` with ``ids``: little-endian unsigned 32-bit integers end to end; with ``decoded`` also the text they decode to."""
+def encode(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", decoded: bool = False, digest: bool = False) -> DataFrame:
+    """``docs`` with ``ids``: little-endian unsigned 32-bit integers end to end; with ``decoded`` also the text they decode to, with
+    ``digest`` also its sha256 (``decoded_sha256``), for which the decoded text need not leave the worker.
+
+    A worker holds the words and ids of one portion of texts at a time and hands it on before it takes the next.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = ["row", "ids"] + ["decoded"] * decoded + ["decoded_sha256"] * digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [i for some in portions(texts) for i in lex.encode(some)]
-            more = [pa.array([lex.decode(i) for i in ids], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), *more],
-                                             ["row", "ids", "decoded"][: 2 + len(more)])
+            at = 0
+            for some in portions((t.as_py() or "" for t in batch.column(1)), PORTION):
+                ids = lex.encode(some)
+                columns = [batch.column(0).slice(at, len(some)), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([lex.decode(i) for i in ids], pa.string()))
+                if digest:
+                    columns.append(pa.array([hashlib.sha256(lex.decode(i).encode()).hexdigest() for i in ids], pa.string()))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     packed = docs.select(rest, F.col(text_col).alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded)
+    schema = T.StructType([packed.schema["row"], T.StructField("ids", T.BinaryType())] + [T.StructField(n, T.StringType()) for n in names[2:]])
     return packed.mapInArrow(run, schema)
 
 
@@ -294,9 +308,8 @@ def decode(coded: DataFrame, lexicon: Lexicon, ids_col: str = "ids") -> DataFram
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    coded = encode(docs.select("doc_id", "text"), build_lexicon(docs), decoded=True)
-    return coded.select(F.col("row.doc_id").alias("doc_id"), F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs.select("doc_id", "text"), build_lexicon(docs), digest=True)
+    return coded.select(F.col("row.doc_id").alias("doc_id"), F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 @query("op6_bpe")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def portions(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+def portions(texts: Iterable[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in turn, about ``chars`` characters at a time (or one longer text): bounds what a worker holds of their words."""
     held, size = [], 0
     for t in texts:

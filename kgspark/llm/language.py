@@ -265,10 +265,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return packed.mapInArrow(run, T.StructType([*packed.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told; a text that is null or has no letter goes."""
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with the predicted language as ``lang_col``; a text that is null or has no letter goes."""
     told = identify(docs, learn(docs.filter(~held_out(id_col)), text_col), text_col).filter(F.col("lang_pred") != UNKNOWN)
-    return told.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    own = {text_col: F.col("text"), lang_col: F.col("lang_pred")}
+    return told.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 @query("op3_language")
