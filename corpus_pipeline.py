@@ -1,4 +1,9 @@
-"""From raw documents to token ids: language, exact copies, near copies, mixture, encoding. Every stage works on what the one before kept."""
+"""From raw documents to token ids: language, exact copies, near copies, mixture, encoding. Every stage works on what the one before kept.
+
+Defined results: a null or empty text, and one without a letter, goes in the first stage; ``lang`` is the predicted language from there on; of equal
+texts the largest id stays, of near copies the smallest; rows with equal id and text are one after the second stage; a null source is a
+source of its own; an empty table gives an empty result; columns that a stage does not use pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from kgspark.session import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents whose language can be told, with ``lang`` as predicted; those without any letter go."""
     return language.with_language(docs)
 
 
@@ -33,12 +38,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` and the digests of ids and decoded text."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs), decoded=True)
-    return coded.select("row.*", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs), digest=True)
+    return coded.select("row.*", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 STAGES = [("language_id", language_id), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture), ("encoding", encoding)]
-ORACLE_SQL = None  # learned probabilities, hashed signatures and the library's merges have no SQL form; tests/llm has a brute-force twin
+ORACLE_SQL = None  # learned probabilities, hashed signatures and the library's merges have no SQL form; tests/llm/test_pipeline.py has a brute-force twin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
