@@ -88,10 +88,9 @@ def answer_bag_report(preds, gold) -> DataFrame:
 def context_recall(instantiated: DataFrame, gold: DataFrame) -> DataFrame:
     """Share of questions with gold where a concrete path ``(qid, text)`` holds a normalised gold answer.
 
-    Matching is by words first: the opening word of the gold text must be inside a word of the path, so pairs come from
-    the containment join on (qid, piece) and not from all pairs of a question.
+    Pairs come from the gram index of the path texts, probed with the rarest gram of each gold text.
     """
-    from .entity_match import containment_pairs
+    from .grams import containment_pairs
 
     n = lambda df, c: df.select("qid", S.norm_answer(F.col(c), keep_articles=True).alias(f"n_{c}")).distinct()
     hit = containment_pairs(n(instantiated, "text"), n(gold, "entity"), ["qid"], "n_text", "n_entity").select("qid").distinct()

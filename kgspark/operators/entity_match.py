@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
+from .grams import containment_pairs
 from .numbering import first_per
 
-_BLOCKS = [16, 8, 4, 2, 1]
-
 
 def graph_entities(triples: DataFrame) -> DataFrame:
     """Distinct ``(gid, entity)`` of a triple table."""
@@ -18,29 +17,6 @@ def graph_entities(triples: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def containment_pairs(outer: DataFrame, inner: DataFrame, keys: list[str], outer_text: str, inner_text: str) -> DataFrame:
-    """Pairs (within equal keys) where the inner text occurs in the outer text.
-
-    Not a nested loop: the inner text is looked up under its opening 16, 8, 4, 2 or 1 characters (the longest that
-    fits) among the pieces of that length of the outer text, then verified.
-    """
-    n = F.length(inner_text)
-    size = F.lit(0)
-    for b in reversed(_BLOCKS):
-        size = F.when(n >= b, F.lit(b)).otherwise(size)
-    probe = inner.withColumn("_block", F.substring(F.col(inner_text), F.lit(1), size))
-
-    def pieces(b: int) -> Column:
-        top = F.length(outer_text) - b + 1
-        return F.when(top >= 1, F.transform(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda i: F.substring(F.col(outer_text), i, F.lit(b)))
-                      ).otherwise(F.array().cast("array<string>"))
-
-    blocks = F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(b) for b in _BLOCKS]))
-    build = outer.withColumn("_block", F.explode(blocks))
-    joined = probe.join(build, [*keys, "_block"])
-    return joined.filter(F.contains(F.col(outer_text), F.col(inner_text))).drop("_block")
-
-
 def match_entities(names: DataFrame, triples: DataFrame) -> DataFrame:
     """``names(qid, gid, entity)`` → ``(qid, gid, entity, match)``.
 

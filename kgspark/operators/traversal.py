@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
-from .entity_match import containment_pairs, resolve_entity
+from .entity_match import resolve_entity
+from .grams import containment_pairs
 from .filters import is_machine_id
 from .numbering import first_per, top_per
 
