@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
+from ..functions.similarity import ascii_norm, signature, similarity
+from ..session import cut_lineage
 from .grams import containment_pairs
 from .numbering import first_per
 
@@ -87,24 +89,30 @@ def fuzzy_match(candidates: DataFrame, vocab: DataFrame, threshold: float = 80.0
     """``candidates(qid, entity)`` → ``(qid, entity, match, score)``.
 
     Equal normal form first; else the most similar entry that shares a word longer than two letters; below the
-    threshold the candidate itself. Similarity is worked out once per distinct (candidate, entry) pair of unequal texts.
-    """
-    from ..functions.python_udfs import ascii_norm, similarity
+    threshold the candidate itself. A text is compared once, whatever number of questions name it.
 
+    Pairs meet on a shared word and the entry's length: a word that half of all entries have is dealt over as many keys as there are
+    lengths within reach, and a pair becomes a row only if so few characters of either are without a partner that the threshold can be met.
+    """
     entries = vocab_candidates(vocab).select(F.col("token").alias("entry")).distinct()
-    forms = entries.withColumn("norm", ascii_norm("entry"))
+    forms = entries.withColumn("norm", ascii_norm(F.col("entry")))
     spelled = forms.groupBy("norm").agg(F.max("entry").alias("match"))
-    texts = candidates.select("entity").distinct().withColumn("norm", ascii_norm("entity"))
-    equal = texts.join(spelled, "norm").select("entity", "match", F.lit(100.0).alias("score"))
-    rest = texts.join(equal, "entity", "left_anti")
-    words = rest.select("entity", F.explode(F.array_distinct(S.words(F.col("norm")))).alias("word"))
-    by_word = entries.select("entry", F.explode(F.array_distinct(F.filter(
-        S.words(F.lower("entry")), lambda x: F.length(x) > 2))).alias("word"))
-    # a score of t needs min(len) >= t/(200-t) * max(len): drop hopeless pairs before the text comparison
-    la, lb = F.length("entity"), F.length("entry")
-    possible = F.least(la, lb) * (200.0 - threshold) >= F.greatest(la, lb) * threshold
-    pairs = words.join(by_word, "word").filter(possible).select("entity", "entry").distinct()
-    scored = pairs.withColumn("score", similarity("entity", "entry")).filter(F.col("score") >= threshold)
+    texts = candidates.select("entity").distinct().withColumn("norm", ascii_norm(F.col("entity")))
+    equal = cut_lineage(texts.join(spelled, "norm").select("entity", "match", F.lit(100.0).alias("score")))
+    rest = texts.join(equal.select("entity"), "entity", "left_anti")
+    long = lambda c: F.explode(F.array_distinct(F.filter(S.words(c), lambda x: F.length(x) > 2)))
+    by_word = entries.select("entry", F.length("entry").alias("size"), signature(F.col("entry")).alias("entry_set"), long(F.lower("entry")).alias("word"))
+    # a score of t needs min(len) >= t/(200-t) * max(len)
+    n, t = F.length("entity"), threshold
+    low, high = F.ceil(n * t / (200 - t)).cast("int"), F.floor(n * (200 - t) / t).cast("int")
+    own = rest.select("entity", n.alias("n"), signature(F.col("entity")).alias("own_set"), F.sequence(low, F.greatest(low, high)).alias("sizes"), long(F.col("norm")).alias("word"))
+    own = own.select("entity", "n", "own_set", "word", F.explode("sizes").alias("size"))
+    a, b = own.alias("a"), by_word.alias("b")
+    both = F.ceil((F.col("a.n") + F.col("b.size")) * F.lit(threshold) / 200)  # characters that have to be common
+    missing = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    hopeful = (missing("a.own_set", "b.entry_set") <= F.col("a.n") - both) & (missing("b.entry_set", "a.own_set") <= F.col("b.size") - both)
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.size") == F.col("b.size")) & hopeful).select("entity", "entry").distinct()
+    scored = pairs.withColumn("score", similarity(F.col("entity"), F.col("entry"))).filter(F.col("score") >= threshold)
     best = first_per(scored, ["entity"], [-F.col("score"), F.col("entry")]).select(
         "entity", F.col("entry").alias("match"), "score")
     found = equal.unionByName(best)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import questions as Q
 from ..functions import scalars as S
+from ..functions.similarity import ascii_norm
 from ..operators import entity_match as M
 from ..operators import filters as B
 from ..operators import indexes as I
@@ -127,11 +128,15 @@ def _(s, d):
     return K.table(s, d, "events").select("event_id", F.size(v).alias("n"), (F.get(v, F.lit(0)) != "").alias("filled"))
 
 
-@query("norm_entity_ascii")
-def _(s, d):
-    from ..functions.python_udfs import ascii_norm
+def ascii_sql(c):
+    """The folding for texts whose accents are all that decomposes, as in the tables at hand."""
+    flat = f"regexp_replace(strip_accents(lower({c})), '[^A-Za-z0-9_ \\t\\n\\r\\f\\v\\x1c-\\x1f]', '', 'g')"
+    return f"trim(regexp_replace({flat}, '[ \\t\\n\\r\\f\\v\\x1c-\\x1f]+', ' ', 'g'))"
+
 
-    return K.table(s, d, "documents").select("doc_id", ascii_norm("text").alias("out"))
+@query("norm_entity_ascii", f"select doc_id, {ascii_sql('text')} as out from documents")
+def _(s, d):
+    return K.table(s, d, "documents").select("doc_id", ascii_norm(F.col("text")).alias("out"))
 
 
 # --- question rules ---
@@ -223,10 +228,13 @@ _dict = lambda dd, c="lower(text)": "list_filter([" + ", ".join(f"case when cont
 _nostop = lambda l, stop: f"list_filter({l}, lambda e: not list_contains({lits(stop)}, lower(e)))"
 
 
-@query("extract_entities", f"""{ALL_TEXT}, b as (select qid, text, {_P} pt from src), e as (
+_SCORED = f"""
   select qid, unnest({_nostop(_CAP, C.STOP_WORDS)}) entity, 0.8 score from b union all select qid, unnest({_dict(C.DEMONYMS)}), 0.85 from b
   union all select qid, unnest({_nostop(f'list_concat({_OF}, {_POSS}, {_YEARS})', C.STOP_WORDS)}), 0.75 from b
-  union all select qid, unnest(list_concat(regexp_extract_all(text, '"([^"]+)"', 1), regexp_extract_all(text, '''([^'']+)''', 1))), 0.9 from b)
+  union all select qid, unnest(list_concat(regexp_extract_all(text, '"([^"]+)"', 1), regexp_extract_all(text, '''([^'']+)''', 1))), 0.9 from b"""
+
+
+@query("extract_entities", f"""{ALL_TEXT}, b as (select qid, text, {_P} pt from src), e as ({_SCORED})
   select qid, entity, max(score)::double score from e group by 1, 2""")
 def _(s, d):
     return E.extract_entities(all_texts(s, d))
@@ -267,14 +275,34 @@ def _(s, d):
     return M.keyword_dictionary_match(all_texts(s, d), C.DEMONYMS)
 
 
-@query("fuzzy_match")
+def fuzzy_sql(asked, threshold=80):
+    """CTEs from ``asked(qid, entity)`` to ``matched(entity, match, score)``; the common subsequence as rows of the textbook table."""
+    return f"""recursive {VOCAB}, {asked}, ent as (select token entry, {ascii_sql('token')} norm from vocab
+      where not starts_with(token, '[') and not starts_with(token, '<') and not regexp_matches(token, '^[a-z_]+\\.[a-z_]+\\.')),
+    txt as (select distinct entity, {ascii_sql('entity')} norm from asked),
+    eq as (select entity, max(entry) as match, 100.0::double score from txt join ent using (norm) group by 1),
+    meet as (select distinct entity, entry from (select entity, unnest({words_sql('norm')}) word from txt where entity not in (select entity from eq)) a
+      join (select entry, unnest({words_sql('lower(entry)')}) word from ent) b using (word)
+      where len(word) > 2 and least(len(entity), len(entry)) * (200 - {threshold}) >= greatest(len(entity), len(entry)) * {threshold}),
+    lcs as (select entity, entry, 0 i, list_transform(range(len(entity) + 1), lambda x: 0) r from meet
+      union all select entity, entry, i + 1, list_prepend(0, list_transform(range(1, len(q) + 1), lambda k: list_max(q[1:k]))) from (
+        select entity, entry, i, list_transform(range(1, len(entity) + 1), lambda k: greatest(r[k + 1], r[k] + case when entity[k] = entry[i + 1] then 1 else 0 end)) q
+        from lcs where i < len(entry))),
+    hit as (select entity, entry, 200.0 * r[len(r)] / (len(entity) + len(entry)) score from lcs where i = len(entry)),
+    matched as (select * from eq union all select entity, first(entry order by score desc, entry), max(score)::double from hit where score >= {threshold} group by 1)"""
+
+
+@query("fuzzy_match", f"""with {fuzzy_sql(f"asked as (select distinct conv_id qid, unnest({words_sql('text')}) entity from conversations)")}
+  select qid, entity, coalesce(match, entity) as match, score from asked left join matched using (entity)""")
 def _(s, d):
     w = S.words(F.col("text"))
     cand = K.table(s, d, "conversations").select(F.col("conv_id").alias("qid"), F.explode(F.array_distinct(w)).alias("entity")).distinct()
     return M.fuzzy_match(cand, vocab(s, d))
 
 
-@query("extract_entities_with_vocabulary")
+@query("extract_entities_with_vocabulary", f"""with {fuzzy_sql(f"b as (select doc_id qid, text, {_P} pt from documents), e as ({_SCORED}), asked as (select qid, entity, max(score)::double score from e group by 1, 2)")}
+  select qid, entity, max(s)::double score from (select qid, coalesce(m.match, a.entity) entity, least(1.0, round(a.score + case when c.token is null then 0 else 0.05 end, 6)) s from asked a left join matched m using (entity)
+    left join (select token from vocab where not starts_with(token, '[') and not starts_with(token, '<') and not regexp_matches(token, '^[a-z_]+\\.[a-z_]+\\.')) c on c.token = coalesce(m.match, a.entity)) x group by 1, 2""")
 def _(s, d):
     return E.extract_entities(docs(s, d), vocab(s, d))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import questions as Q
 from kgspark.functions import scalars as S
-from kgspark.functions.python_udfs import _common_subsequence
 from kgspark.operators import answers as A
 from kgspark.operators import lookups as L
 from kgspark.operators import metrics as X
@@ -89,20 +88,6 @@ def test_spotting(spark):
     assert (2, "new york city") in rows(extract_entities_fast(qs, vocab), "qid", "entity")
 
 
-def test_similarity_is_two_times_common_over_total():
-    def lcs(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        return t[-1][-1]
-
-    r = random.Random(5)
-    for _ in range(300):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(12))) for _ in "xy")
-        assert _common_subsequence(a, b) == lcs(a, b)
-
-
 def ranked_lists(spark):
     a = spark.createDataFrame([(1, "a", i + 1, s, p, f"p{p}") for i, (p, s) in enumerate([(3, 9.0), (1, 5.0), (2, 5.0)])], RANKED)
     b = spark.createDataFrame([(1, "b", i + 1, s, p, f"p{p}") for i, (p, s) in enumerate([(2, .9), (4, .1)])], RANKED)

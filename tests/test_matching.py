@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import entity_match as M
 from kgspark.operators import grams
+from kgspark.functions.similarity import ascii_norm, common_subsequence
 
 
 def test_containment_equals_all_pairs(spark):
@@ -29,3 +30,56 @@ def test_gram_index_is_linear_in_the_text(spark):
     names = spark.createDataFrame([(1, "name 0077")], "gid int, _name string")
     many = spark.createDataFrame(rows, "gid int, _text string").withColumn("_hash", F.xxhash64("_text"))
     assert grams._candidates(many, names, ["gid"], 3).count() <= 20  # of 1 000 texts with "name"
+
+
+def slow_fold(text):
+    import re
+    import unicodedata
+
+    flat = unicodedata.normalize("NFKD", text.lower().strip()).encode("ascii", "ignore").decode()
+    return " ".join(re.sub(r"[^\w\s]", "", flat).split())
+
+
+def test_folding_equals_decomposition(spark):
+    texts = ["Étienne  D'Arc", "Straße, ﬁn ½ ㎏ ℌ", "  São Tomé x\t", "ＦＵＬＬ width", "𝔄bc 𝟙", "Ω мир 日本", "", "İstanbul", "a_b-c\x1fd", "ǅ ĳ ŉ"]
+    texts += ["x" + chr(c) + "y" for c in range(0x80, 0x20000, 37) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", ascii_norm(F.col("t")).alias("o")).collect()
+    wrong = [(texts[r["i"]], r["o"]) for r in got if r["o"] != slow_fold(texts[r["i"]])]
+    assert not wrong
+    assert spark.createDataFrame([(None,)], "t string").select(ascii_norm(F.col("t")).alias("o")).first()["o"] is None
+
+
+def slow_common(a, b):
+    row = [0] * (len(a) + 1)
+    for y in b:
+        row = [0] + [max(row[i + 1], row[i] + (x == y)) for i, x in enumerate(a)]
+        for i in range(len(a)):
+            row[i + 1] = max(row[i + 1], row[i])
+    return row[-1]
+
+
+def test_common_subsequence_of_any_length(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abc😀é") for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("a", ""), ("abc", "abc"), ("x" * 200, "x" * 130), ("ab" * 31, "ba" * 31)] + [(text(rng.randint(0, 150)), text(rng.randint(0, 150))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r["i"]: r["n"] for r in rows.select("i", common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: slow_common(a, b) for i, (a, b) in enumerate(pairs)}
+
+
+def test_fuzzy_match_equals_all_pairs_and_a_common_word_makes_few_rows(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    vocab = [f"company {word()} {word()}" for _ in range(400)] + [word() for _ in range(60)] + ["Époque x", "[bad] company", "a.b.c company"]
+    asked = [v[:i] + v[i + 1 :] for v in vocab[:60] for i in (9,)] + ["company", "company zzz yyy", "epoque X", "nothing here", "", "company " + "q" * 90] + [word() for _ in range(20)]
+    got = {r["entity"]: (r["match"], r["score"]) for r in M.fuzzy_match(spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "qid int, entity string"), spark.createDataFrame([(v,) for v in vocab], "token string")).collect()}
+    entries = [v for v in set(vocab) if not v.startswith("[") and v != "a.b.c company"]
+    for a in asked:
+        equal = [e for e in entries if slow_fold(e) == slow_fold(a)]
+        if equal:
+            assert got[a] == (max(equal), 100.0)
+            continue
+        near = [e for e in entries if {w for w in e.lower().split() if len(w) > 2} & set(slow_fold(a).split())]
+        best = min(((-200.0 * slow_common(a, e) / (len(a) + len(e)), e) for e in near), default=(0, a))
+        want = (best[1], -best[0]) if -best[0] >= 80 else (a, None)
+        assert got[a][0] == want[0] and (got[a][1] is None) == (want[1] is None), a
