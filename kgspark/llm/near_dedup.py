@@ -10,7 +10,7 @@
 4. Every candidate is confirmed on the full shingle sets, and confirmed links give components.
 5. Members that a bucket's star did not bring into one component are compared again, exactly: two sets at the threshold must share
    one of their rarest shingles, so a join on these prefixes (by rising frequency) finds every link left between different
-   components.
+   components. Sizes and a parity sketch, which bounds the difference of two sets from below, are conditions of that join.
 
 With ``BANDS`` bands of ``ROWS`` rows two sets at similarity 0.85 miss every common bucket with probability 6e-11.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -36,6 +36,7 @@ from .components import components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+SKETCH = 1024  # bits
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,17 +195,35 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(mixed, "key", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct())
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits, each the parity of the set's members that fall on it. Sets whose bits differ at n places differ by n members at least."""
+    odd = np.bincount((_mix(s) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _within_reach(percent: int) -> Column:
+    """Whether the sketches of ``a`` and ``b`` leave room for a link: sets of n and m members that have ``percent`` in common differ by at
+    most (n + m) * (100 - percent) / (100 + percent) members."""
+    differ = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+
+
 def _prefix_pairs(left: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``a, b`` of different components that share one of their rarest shingles and have sizes that allow a link."""
+    """``a, b`` of different components that share one of their rarest shingles, with sizes and sketches that allow a link.
+
+    The sketch is a condition of the join: pairs of a large family that lie just under the threshold are compared there and never
+    become rows. It can only turn away pairs that are no link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or "", shingle).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "component", "shingles"])
+            sets = [shingle_set(t.as_py() or "", shingle) for t in batch.column(2)]
+            lists = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), parities)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "component", "shingles", "sketch"])
 
     known = left.join(texts, "doc_id").select("doc_id", "component", "text")
     kind = dict(known.dtypes)
-    sets = cut_lineage(known.mapInArrow(run, f"doc_id {kind['doc_id']}, component {kind['component']}, shingles array<long>"))
+    sets = cut_lineage(known.mapInArrow(run, f"doc_id {kind['doc_id']}, component {kind['component']}, shingles array<long>, sketch array<long>"))
     each = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     # shingles of one document only need no partner, but hold the first places of the prefix
@@ -212,12 +231,13 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, shingle: int, percent: int)
     prefix = each.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
     shared = F.transform(F.filter(F.slice("s", F.lit(1), keep.cast("int")), lambda t: t["often"] > 1), lambda t: t["shingle"])
-    prefix = cut_lineage(prefix.select("doc_id", "component", "n", shared.alias("p")).select("*", F.explode("p").alias("shingle")))
+    prefix = prefix.select("doc_id", "component", "n", shared.alias("p")).join(sets.select("doc_id", "sketch"), "doc_id")
+    prefix = cut_lineage(prefix.select("*", F.explode("p").alias("shingle")))
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
     # a pair is made once, at the first shingle that both prefixes hold
     first = F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.shingle")
-    return cut_lineage(a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits & first).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
+    return cut_lineage(a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits & _within_reach(percent) & first).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -227,3 +227,35 @@ def test_conversation_query_equals_sql(spark):
     want = sorted(found.fetchall())
     got = asked["op13_conversation_repair"](spark, DATA)
     assert sorted(tuple(r) for r in got.select(*names).collect()) == want and len(want) > 5
+
+
+def test_parity_sketch_never_exceeds_the_difference():
+    from kgspark.llm import near_dedup
+
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 400, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for change in (0, 1, 10, 200):
+            other = np.unique(np.concatenate([base[change:], rng.integers(0, 1 << 63, change, dtype=np.uint64)]))
+            differ = len(np.setxor1d(base, other))
+            bits = np.bitwise_count((near_dedup.parities(base) ^ near_dedup.parities(other)).view(np.uint64)).sum()
+            assert bits <= differ and (differ > 100 or bits >= 0.7 * differ)
+
+
+def test_family_of_near_misses(spark):
+    """Variants of one text that lie around the threshold from each other: components equal those of all pairs."""
+    from kgspark.llm import near_dedup
+
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join(base)]
+    for _ in range(260):
+        t = list(base)
+        for at in rng.sample(range(90), rng.randint(1, 4)):
+            t[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(t))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    want = classes(range(len(texts)), lambda x, y: 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, shingle=3, percent=85).collect()}
+    assert got == want and len(set(want.values())) > 20
