@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .core import portions, query, table
+from .core import lean, portions, query, table
 from .transducer import Transducer
 
 LEXICON_WORDS = 50_000
@@ -146,7 +146,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield handed()
         yield handed()
 
-    parts = docs.select(F.col(text_col).alias("text")).filter("text <> ''").mapInArrow(count, "word binary, n long")
+    parts = docs.select(F.col(text_col).alias("text")).filter("text <> ''").mapInArrow(lean(count), "word binary, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", decoded: b
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     packed = docs.select(rest, F.col(text_col).alias("text"))
     schema = T.StructType([packed.schema["row"], T.StructField("ids", T.BinaryType())] + [T.StructField(n, T.StringType()) for n in names[2:]])
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lean(run), schema)
 
 
 def decode(coded: DataFrame, lexicon: Lexicon, ids_col: str = "ids") -> DataFrame:

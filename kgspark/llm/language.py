@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .core import portions, query, table
+from .core import lean, portions, query, table
 
 UNKNOWN = "und"
 MARK = "▁"  # opens a word in the vocabulary
@@ -255,14 +255,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sure = [], []
-            for some in portions([t or "" for t in batch.column(1).to_pylist()]):
+            for some in portions(t.as_py() or "" for t in batch.column(1)):
                 told = shared.value.predict(some)
                 names += told[0]
                 sure += told[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["row", "text", "lang_pred", "score"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
-    return packed.mapInArrow(run, T.StructType([*packed.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return packed.mapInArrow(lean(run), T.StructType([*packed.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

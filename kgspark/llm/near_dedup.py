@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .core import query, table
+from .core import lean, query, table
 from .components import components
 
 BINS, ROWS = 128, 4
@@ -128,7 +128,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
                                              ["doc_id", "n_shingles", "set", "bands"])
 
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return packed.mapInArrow(run, f"doc_id {packed.dtypes[0][1]}, n_shingles long, set binary, bands array<long>")
+    return packed.mapInArrow(lean(run), f"doc_id {packed.dtypes[0][1]}, n_shingles long, set binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     kind = dict(pairs.dtypes)
-    return two.mapInArrow(run, f"a {kind['a']}, b {kind['b']}")
+    return two.mapInArrow(lean(run), f"a {kind['a']}, b {kind['b']}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +223,7 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
     known = left.join(texts, "doc_id").select("doc_id", "component", "text")
     kind = dict(known.dtypes)
-    sets = cut_lineage(known.mapInArrow(run, f"doc_id {kind['doc_id']}, component {kind['component']}, shingles array<long>, sketch array<long>"))
+    sets = cut_lineage(known.mapInArrow(lean(run), f"doc_id {kind['doc_id']}, component {kind['component']}, shingles array<long>, sketch array<long>"))
     each = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     # shingles of one document only need no partner, but hold the first places of the prefix
