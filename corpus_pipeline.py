@@ -16,8 +16,19 @@ from kgspark.llm import bpe, exact_dedup, language, mixing, near_dedup
 from kgspark.session import ensure_checkpoint_dir
 
 
+BATCH_ROWS = "1000"  # of whole texts that Spark and a Python worker pass each other at a time
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Arrow batches for rows with long texts, unless the session asks for shorter ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > int(BATCH_ROWS):
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with ``lang`` as predicted; those without any letter go."""
+    _short_batches(spark)
     return language.with_language(docs)
 
 
@@ -28,6 +39,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: sets of five-word shingles at similarity 0.8 or more."""
+    _short_batches(spark)
     return near_dedup.keep_one(docs, shingle=5, percent=80)
 
 
@@ -38,6 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` and the digests of ids and decoded text."""
+    _short_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs), digest=True)
     return coded.select("row.*", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
