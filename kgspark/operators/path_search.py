@@ -18,15 +18,15 @@ from .numbering import first_per, positions, top_per
 _NO_STEPS = "array<struct<dir:int,idx:int>>"
 
 
-def _reach(targets: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
-    """``targets(qid, gid, entity)`` → ``(qid, gid, node, dist)``: nodes within ``levels`` hops before a target."""
-    seen = targets.select("qid", "gid", F.col("entity").alias("node")).distinct().withColumn("dist", F.lit(0))
+def _reach(targets: DataFrame, edges: DataFrame, levels: int, keys: tuple[str, ...] = ("qid", "gid")) -> DataFrame:
+    """``targets(*keys, entity)`` → ``(*keys, node, dist)``: nodes within ``levels`` hops before a target. ``gid`` is one of the keys."""
+    seen = targets.select(*keys, F.col("entity").alias("node")).distinct().withColumn("dist", F.lit(0))
     ring = seen
     for level in range(1, levels + 1):
         back = edges.select("gid", F.col("next").alias("node"), F.col("node").alias("prev"))
-        ring = ring.select("qid", "gid", "node").join(back, ["gid", "node"]).select(
-            "qid", "gid", F.col("prev").alias("node")).distinct().withColumn("dist", F.lit(level))
-        seen = cut_lineage(seen.unionByName(ring).groupBy("qid", "gid", "node").agg(F.min("dist").alias("dist")))
+        ring = ring.select(*keys, "node").join(back, ["gid", "node"]).select(
+            *keys, F.col("prev").alias("node")).distinct().withColumn("dist", F.lit(level))
+        seen = cut_lineage(seen.unionByName(ring).groupBy(*keys, "node").agg(F.min("dist").alias("dist")))
         ring = seen.filter(F.col("dist") == level)
     return seen
 
@@ -36,11 +36,11 @@ def _by_node(edges: DataFrame) -> DataFrame:
     return bucketed(edges, "gid", "node")
 
 
-def _near(live: DataFrame, reach: DataFrame, left: int, levels: int) -> DataFrame:
+def _near(live: DataFrame, reach: DataFrame, left: int, levels: int, keys: tuple[str, ...] = ("qid", "gid")) -> DataFrame:
     """Drop states from which no target lies within the ``left`` remaining hops (where ``reach`` goes that far)."""
     if left > levels:
         return live
-    return live.join(reach.filter(F.col("dist") <= left).select("qid", "gid", "node"), ["qid", "gid", "node"], "left_semi")
+    return live.join(reach.filter(F.col("dist") <= left).select(*keys, "node"), [*keys, "node"], "left_semi")
 
 
 def enumerate_simple_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_depth: int = 3,
@@ -145,34 +145,39 @@ def select_paths(paths: DataFrame, order: list[str], per_target: int | None = No
 
 
 def connecting_paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 3, max_paths: int | None = None, resolve: bool = True) -> DataFrame:
-    """``pairs(qid, gid, start, end)`` → ``(qid, no, entities, relations, path_string)``, shortest first, at most
-    ``max_paths``. An entity is entered once per relation sequence; the search does not go beyond a hit."""
+    """``pairs(qid, gid, start, end)`` → ``(qid, start, end, no, entities, relations, path_string)``, shortest first, at most
+    ``max_paths`` of every pair. An entity is entered once per relation sequence; the search does not go beyond a hit.
+
+    Pairs are searched apart, so two pairs of a question never give a path from one's start to the other's end. What lies within
+    reach of an end is worked out once per graph and end, however many pairs ask for it.
+    """
+    pairs = pairs.select("qid", "gid", "start", "end").distinct()
     if resolve:
-        s = resolve_entity(pairs.select("qid", "gid", F.col("start").alias("entity")), triples).select("qid", "gid", F.col("match").alias("node"))
-        t = resolve_entity(pairs.select("qid", "gid", F.col("end").alias("entity")), triples).select("qid", "gid", F.col("match").alias("entity"))
+        named = lambda c: resolve_entity(pairs.select("qid", "gid", F.col(c).alias("entity")), triples).select("qid", "gid", F.col("entity").alias(c), "match")
+        s = pairs.join(named("start"), ["qid", "gid", "start"]).withColumnRenamed("match", "node")
+        t = named("end").select("gid", "end", F.col("match").alias("entity")).distinct()
     else:
-        s = pairs.select("qid", "gid", F.col("start").alias("node"))
-        t = pairs.select("qid", "gid", F.col("end").alias("entity"))
-    edges = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"), "triple_idx")
-    edges = _by_node(edges)
-    levels = max_depth - 1
-    reach = _reach(t, edges, levels)
-    goal = t.select("qid", "gid", F.col("entity").alias("node")).distinct()
+        s = pairs.withColumn("node", F.col("start"))
+        t = pairs.select("gid", "end", F.col("end").alias("entity")).distinct()
+    edges = _by_node(triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"), "triple_idx"))
+    own, ends, levels = ["qid", "gid", "start", "end"], ("gid", "end"), max_depth - 1
+    reach = _reach(t, edges, levels, ends)
+    goal = t.select("gid", "end", F.col("entity").alias("node"))
     live = s.distinct().withColumn("entities", F.array("node")).withColumn("relations", F.array().cast("array<string>")).withColumn(
         "steps", F.array().cast("array<int>"))
     found = None
     for depth in range(1, max_depth + 1):
         step = live.join(edges, ["gid", "node"]).select(
-            "qid", "gid", F.col("next").alias("node"), F.array_append("entities", F.col("next")).alias("entities"),
+            *own, F.col("next").alias("node"), F.array_append("entities", F.col("next")).alias("entities"),
             F.array_append("relations", F.col("rel")).alias("relations"),
             F.array_append("steps", F.col("triple_idx").cast("int")).alias("steps"))
-        step = _near(step, reach, max_depth - depth, levels)
-        fresh = cut_lineage(first_per(step, ["qid", "gid", "node", "relations"], ["steps", "entities"]))
-        hit = fresh.join(goal, ["qid", "gid", "node"], "left_semi")
+        step = _near(step, reach, max_depth - depth, levels, ends)
+        fresh = cut_lineage(first_per(step, [*own, "node", "relations"], ["steps", "entities"]))
+        hit = fresh.join(goal, [*ends, "node"], "left_semi")
         found = hit if found is None else found.unionByName(hit)
-        live = fresh.join(goal, ["qid", "gid", "node"], "left_anti")
-    best = top_per(found, ["qid"], [F.size("relations"), F.col("steps"), F.col("entities")], max_paths, "no")
-    return best.select("qid", "no", "entities", "relations", S.relation_chain(F.col("relations")).alias("path_string"))
+        live = fresh.join(goal, [*ends, "node"], "left_anti")
+    best = top_per(found, own, [F.size("relations"), F.col("steps"), F.col("entities")], max_paths, "no")
+    return best.select("qid", "start", "end", "no", "entities", "relations", S.relation_chain(F.col("relations")).alias("path_string"))
 
 
 def all_shortest_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_hops: int | None = None) -> DataFrame:

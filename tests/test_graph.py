@@ -108,6 +108,14 @@ def test_connecting_paths_enter_a_state_once_and_stop_at_hits(spark):
     assert collect(P.connecting_paths(pairs, t), "entities", "path_string") == [(("a", "b", "d"), "r -> s")]
 
 
+def test_connecting_paths_keep_the_pairs_of_a_question_apart(spark):
+    t = spark.createDataFrame([(1, "a", "r", "x", 0), (1, "a", "r", "y", 1), (1, "b", "r", "y", 2), (1, "b", "r", "x", 3), (1, "b", "s", "y", 4), (1, "y", "s", "x", 5)], TRIPLES)
+    pairs = spark.createDataFrame([(1, 1, "A", "X"), (1, 1, "b", "y"), (1, 1, "b", "y")], "qid bigint, gid bigint, start string, end string")
+    got = collect(P.connecting_paths(pairs, t), "start", "end", "no", "entities", "path_string")
+    assert got == [("A", "X", 1, ("a", "x"), "r"), ("A", "X", 2, ("a", "y", "x"), "r -> s"), ("b", "y", 1, ("b", "y"), "r"), ("b", "y", 2, ("b", "y"), "s")]
+    assert collect(P.connecting_paths(pairs, t, max_paths=1), "start", "no") == [("A", 1), ("b", 1)]
+
+
 def test_follow_path_is_a_set_and_is_cut_in_text_order(spark):
     t = spark.createDataFrame([(1, "A", "r", f"x{i % 5}", i) for i in range(9)] + [(1, f"x{i}", "s", "end", 20 + i) for i in range(5)], TRIPLES)
     start = spark.createDataFrame([(7, 1, "a")], "qid bigint, gid bigint, entity string")
