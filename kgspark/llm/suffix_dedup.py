@@ -1,18 +1,25 @@
 """Removal of every byte covered by a long string that starts elsewhere too, by distributed prefix doubling.
 
-Position p is repeated at length h if the h bytes from p also start at another position. Doubling: the name of 2h bytes is made of the
-names of its halves, (name_h(p), name_h(p + h)), and a name that occurs once stays unique at every greater length. Names are 64-bit
-hashes that a task computes for its own texts, so ranks do not travel between texts; Spark finds which names occur twice.
-
-All positions as rows would be hundreds of times the input, so the rounds go from few rows to many:
-
-1. At ``GRAM`` bytes: every string of ``length`` bytes has a content-defined sample, the leftmost smallest gram name in it. Strings with
-   the same sample form a range, one row. Samples whose gram name is unique drop out, with all their strings.
-2. The whole stretch of bytes that a range covers gets one name. If it occurs twice, all strings of the range are repeated.
-3. What is left (ranges at the edges of repeated passages) is doubled to ``length`` bytes position by position, together with one
-   range of each repeated stretch that has the same gram; names that occur twice are repeated strings.
-
-Counts are aggregated per task before they are shuffled, and joined back, so a passage that many texts share is no hot group.
+Position p is repeated at length h if the h bytes from p also start at another position. Doubling: the name of 2h bytes is the pair of
+the names of its halves, and a name that occurs once stays unique at every greater length. Positions go through rounds of growing
+length; in each, Spark brings equal names together, unique ones drop out, and the rest go on until they pass the threshold.
+
+All positions as rows would be hundreds of times the input, so positions travel in groups as long as their fate is the same:
+
+1. At ``gram`` bytes: every string of ``length`` bytes has a content-defined sample, the leftmost smallest gram name in it. Strings with
+   the same sample form a range, one row. Equal strings have equal samples at the same offset, so samples whose gram name is unique
+   drop out with all their strings.
+2. A range's whole stretch of bytes gets a name. If it occurs twice, all strings of the range are repeated.
+3. What is left lies at the edges of repeated passages. The bytes of these ranges, and of one range of each repeated stretch with the
+   same gram, are cut out once into a table bucketed by range. Its strings, told by their offset to the sample, are dealt to nodes of
+   ``FAN`` ** k offsets, k falling. The strings of a node have a core in common, which grows to ``length`` as nodes become smaller. A
+   core that is unique ends the node: none of its strings is repeated. If the node's whole bytes occur twice, all its strings are
+   repeated. Otherwise it goes on as ``FAN`` smaller nodes; of nodes found repeated, one goes along as a partner where an open node has
+   its core. At nodes of one offset the core is the string itself, so the answer is exact. An edge costs a few rows per round.
+
+Names are 64-bit hashes of pairs of names, computed by the task that holds the bytes; equality is equality of names (no ranks of all
+positions are sorted). Texts are known by a 64-bit hash and their length. Counts are aggregated per task before they are shuffled, and
+joined back, so a passage that many texts share is no hot group.
 
 Defined results: a null text is empty; matches lie inside one text; strings are judged on the input; a text shorter than ``length`` keeps
 all its bytes; repeated rows repeat each other; ids may be null; an empty table gives an empty result; other columns may have any
@@ -22,17 +29,20 @@ name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .core import query, table
+from ..session import bucketed, cut_lineage
+from .core import lean, query, table
 
 LENGTH = 400
 GRAM = 100
+FAN = 4
+PORTION = 2000  # ranges whose bytes a task names at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,20 +52,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def names(raw: np.ndarray, h: int) -> np.ndarray:
-    """A 64-bit name of the h bytes from each position, by doubling: pairs of names at growing offsets."""
-    n = len(raw) - h + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, size = _mix(raw.astype(np.uint64) + np.uint64(1)), 1
-    bits = bin(h)[3:]
-    for bit in bits:
-        out = _mix(out[:-size] * _BASE + out[size:])
+def doubled(raw: np.ndarray, least: int, most: int) -> dict[int, np.ndarray]:
+    """Names of the h bytes from each position, for the powers of two h that strings of ``least`` to ``most`` bytes need."""
+    name, size, out = _mix(raw.astype(np.uint64) + np.uint64(1)), 1, {}
+    while size <= most and len(name):
+        if 2 * size > least:
+            out[size] = name
+        name = _mix(name[:-size] * _BASE + name[size:])
         size *= 2
-        if bit == "1":
-            out = _mix(out[:-1] * _BASE + (raw[size : size + len(out) - 1].astype(np.uint64) + np.uint64(1)))
-            size += 1
-    return out[:n]
+    return out
+
+
+def name_of(known: dict[int, np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Names of the ``size`` bytes from ``at``: their first and last power of two bytes, which meet or overlap."""
+    power = np.int64(1) << (np.frexp(size)[1].astype(np.int64) - 1)
+    out = np.empty(len(at), np.uint64)
+    for h in np.unique(power).tolist():
+        mine = power == h
+        start, long = at[mine], size[mine]
+        out[mine] = _mix(_mix(known[h][start] * _BASE + known[h][start + long - h]) + long.astype(np.uint64))
+    return out
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +86,9 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 def ranges(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of a text of at least ``length`` bytes: sample, first and last start of the strings that have it, gram name, name of the stretch."""
     w = length - gram + 1
-    name = names(raw, gram)
+    h = 1 << (gram.bit_length() - 1)
+    known = doubled(raw, gram, 2 * length - gram)
+    name = _mix(known[h][: len(raw) - gram + 1] * _BASE + known[h][gram - h : len(raw) - h + 1])
     least = _window_min(name, w)
     # leftmost place of each window's least name: the next place at or after the window's start that has it
     at = np.arange(len(least))
@@ -88,22 +106,10 @@ def ranges(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
             ends = np.concatenate([cut[1:], [hi - lo + 1]]) - 1
             rows += [(int(mine[c]), lo + int(c), lo + int(e)) for c, e in zip(cut, ends)]
     a, lo, hi = (np.array(x, np.int64) for x in zip(*rows))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw)))])
-    stretch = (sums[hi + length] - sums[lo]) * _powers(len(raw), True)[lo]
-    stretch = _mix(_mix(stretch + (hi - lo).astype(np.uint64) * _BASE) + (a - lo).astype(np.uint64))
+    stretch = _mix(name_of(known, lo, hi - lo + length) + (a - lo).astype(np.uint64))
     return a, lo, hi, name[a].view(np.int64), stretch.view(np.int64)
 
 
-_KNOWN: dict[bool, np.ndarray] = {}
-
-
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    if len(_KNOWN.get(inverse, ())) < n:
-        base = np.uint64(pow(int(_BASE), -1, 1 << 64)) if inverse else _BASE
-        _KNOWN[inverse] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(2 * n, 1 << 14), base)]))
-    return _KNOWN[inverse][:n]
-
-
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
 
@@ -114,50 +120,104 @@ def _batch(columns: list, fields: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()).cast(kinds[k]) for c, (_, k) in zip(columns, named)], [n for n, _ in named])
 
 
-def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``key, n, spans``: the first and last starts of the repeated strings of ``texts(key, n, text)``; texts without any are absent."""
-    fields = "key long, n int, lo int, hi int, gram long, stretch long"
+def _sampled(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The ranges of ``texts(key, n, text)`` whose gram occurs twice: ``key, n, a, lo, hi, gram, stretch, whole`` (its stretch occurs twice)."""
+    fields = "key long, n int, a int, lo int, hi int, gram long, stretch long"
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for key, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if n >= length:
-                    _, lo, hi, g, s = ranges(_bytes(text.as_py()), length, gram)
-                    for c, x in zip(out, (np.full(len(lo), key), np.full(len(lo), n), lo, hi, g, s)):
+                    found = ranges(_bytes(text.as_py()), length, gram)
+                    for c, x in zip(out, (np.full(len(found[0]), key), np.full(len(found[0]), n), *found)):
                         c.append(x)
             yield _batch(out, fields)
 
-    found = cut_lineage(texts.select("key", "n", "text").mapInArrow(sample, fields))
+    found = cut_lineage(texts.select("key", "n", "text").mapInArrow(lean(sample), fields))
     twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
     live = cut_lineage(found.join(twice, "gram"))
     whole = live.groupBy("stretch").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("stretch", F.lit(True).alias("whole"))
-    live = cut_lineage(live.join(whole, "stretch", "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+    return cut_lineage(live.join(whole, "stretch", "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+
+
+def _pieces(texts: DataFrame, live: DataFrame, length: int) -> DataFrame:
+    """The bytes of the ranges that are still open (``times`` 1) and of their partners (2): ``key, n, lo, hi, a, times, raw``, by range."""
     edges = live.filter("not whole")
-    open_grams = cut_lineage(edges.select("gram").distinct())
-    partners = live.filter("whole").join(open_grams, "gram", "left_semi").groupBy("stretch").agg(F.min(F.struct("key", "n", "lo", "hi")).alias("r")).select("r.*", F.lit(2).alias("times"))
-    lists = edges.select("key", "n", "lo", "hi", F.lit(1).alias("times")).unionByName(partners).groupBy("key", "n").agg(F.collect_list(F.struct("lo", "hi", "times")).alias("parts"))
-    one = texts.join(cut_lineage(lists), ["key", "n"]).select("key", "n", "text", "parts")
+    grams = edges.select("gram").distinct()
+    partners = live.filter("whole").join(grams, "gram", "left_semi").groupBy("stretch").agg(F.min(F.struct("key", "n", "lo", "hi", "a")).alias("r")).select("r.*", F.lit(2).alias("times"))
+    listed = edges.select("key", "n", "lo", "hi", "a", F.lit(1).alias("times")).unionByName(partners)
+    lists = cut_lineage(listed.groupBy("key", "n").agg(F.collect_list(F.struct("lo", "hi", "a", "times")).alias("parts")))
 
-    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # copies of a text stand together; one of them is enough
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            held = 0
-            for key, n, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                raw = _bytes(text.as_py())
-                for p in parts:
-                    name = names(raw[p["lo"] : p["hi"] + length], length)
-                    for c, x in zip(out, (np.full(len(name), key), np.full(len(name), n), np.arange(p["lo"], p["hi"] + 1), np.full(len(name), p["times"]), name.view(np.int64))):
-                        c.append(x)
-                    if (held := held + len(name)) > 200_000:
-                        yield _batch(out, "key long, n int, at int, times int, name long")
-                        out, held = [[] for _ in range(5)], 0
-            yield _batch(out, "key long, n int, at int, times int, name long")
-
-    rows = cut_lineage(one.mapInArrow(double, "key long, n int, at int, times int, name long"))
-    names_twice = rows.groupBy("name").agg(F.sum("times").alias("c")).filter("c > 1").select("name")
-    at_edges = rows.filter("times = 1").join(names_twice, "name").select("key", "n", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    spans = live.filter("whole").select("key", "n", "lo", "hi").unionByName(at_edges)
+            rows, pieces = [], []
+            for key, n, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (key, n) not in seen:
+                    seen.add((key, n))
+                    raw = _bytes(text.as_py())
+                    for p in parts.as_py():
+                        rows.append((key, n, p["lo"], p["hi"], p["a"], p["times"]))
+                        pieces.append(raw[p["lo"] : p["hi"] + length].tobytes())
+            columns = [[np.array(c, np.int64)] for c in zip(*rows)] or [[] for _ in range(6)]
+            table = _batch(columns, fields)
+            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(pieces, pa.binary())], [*table.schema.names, "raw"])
+
+    fields = "key long, n int, lo int, hi int, a int, times int"
+    return bucketed(texts.join(lists, ["key", "n"]).select("key", "n", "text", "parts").mapInArrow(lean(cut), f"{fields}, raw binary"), "key", "n", "lo")
+
+
+def _named_nodes(work: DataFrame, size: int, length: int, gram: int) -> DataFrame:
+    """``work(key, n, lo, hi, a, raw, nodes)`` with a row per node of ``size`` offsets: its own offsets ``first`` to ``last``, and the names of
+    the core that the strings of this node share and of all the bytes they cover."""
+    fields = "key long, n int, lo int, a int, times int, first int, last int, core long, covered long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PORTION):
+                rows = batch.slice(start, PORTION)
+                key, n, lo, hi, a = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+                pieces, nodes = rows.column(5).to_pylist(), rows.column(6)
+                base = np.cumsum([0, *map(len, pieces[:-1])])
+                at = np.repeat(np.arange(rows.num_rows), nodes.value_lengths().to_numpy(zero_copy_only=False))
+                node, times = (nodes.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+                low = node * size
+                high = np.minimum(low + size - 1, length - gram)
+                first, last = np.maximum(low, (a - hi)[at]), np.minimum(high, (a - lo)[at])
+                zero = (base + a - lo)[at]
+                known = doubled(np.frombuffer(b"".join(pieces), np.uint8), gram, 2 * length - gram)
+                core = _mix(name_of(known, zero - low, length - (high - low)) + low.astype(np.uint64))
+                whole = _mix(_mix(name_of(known, zero - last, length + last - first) + first.astype(np.uint64)) + last.astype(np.uint64))
+                yield _batch([[x] for x in (key[at], n[at], lo[at], a[at], times, first, last, core.view(np.int64), whole.view(np.int64))], fields)
+
+    return cut_lineage(work.select("key", "n", "lo", "hi", "a", "raw", "nodes").mapInArrow(lean(run), fields))
+
+
+def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``key, n, spans``: the first and last starts of the repeated strings of ``texts(key, n, text)``; texts without any are absent."""
+    live = _sampled(texts, length, gram)
+    pieces = _pieces(texts, live, length)
+    sizes = [1]
+    while sizes[-1] * FAN <= length - gram:
+        sizes.append(sizes[-1] * FAN)
+    spans = [live.filter("whole").select("key", "n", "lo", "hi")]
+    top = F.transform(F.sequence(F.expr(f"(a - hi) div {sizes[-1]}"), F.expr(f"(a - lo) div {sizes[-1]}")), lambda x: F.struct(x.cast("int").alias("node"), F.col("times").alias("times")))
+    work = pieces.withColumn("nodes", top)
+    for size in reversed(sizes):
+        rows = _named_nodes(work, size, length, gram)
+        twice = rows.groupBy("covered").agg(F.sum("times").alias("c")).filter("c > 1").select("covered", F.lit(True).alias("again"))
+        rows = cut_lineage(rows.join(twice, "covered", "left"))
+        spans.append(rows.filter("again and times = 1").select("key", "n", F.expr("a - last").alias("lo"), F.expr("a - first").alias("hi")))
+        if size == 1:
+            break
+        cores = rows.groupBy("core").agg(F.sum("times").alias("c"), F.bool_or(F.col("again").isNull()).alias("open")).filter("c > 1 and open").select("core")
+        going = rows.join(cores, "core", "left_semi")
+        partners = going.filter("again").groupBy("covered").agg(F.min(F.struct("key", "n", "lo", "first", "last")).alias("r")).select("r.*", F.lit(2).alias("times"))
+        smaller = F.sequence(F.expr(f"int(first div {size // FAN})"), F.expr(f"int(last div {size // FAN})"))
+        each = going.filter("again is null").select("key", "n", "lo", "first", "last", "times").unionByName(partners).select("key", "n", "lo", "times", F.explode(smaller).alias("node"))
+        work = pieces.join(each.groupBy("key", "n", "lo").agg(F.collect_list(F.struct("node", "times")).alias("nodes")), ["key", "n", "lo"])
+    spans = reduce(DataFrame.unionByName, spans)
     return spans.groupBy("key", "n").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -205,12 +205,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, **{i: 500 for i in range(500, 530)}}
 
 
-def test_suffix_dedup(spark, texts):
+def _check_repeats(spark, texts):
     seen = Counter()
     raws = [(t or "").encode() for t in texts]
     for b in raws:
         seen.update(b[p:p + 400] for p in range(len(b) - 399))
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    removed = 0
     for i, b in enumerate(raws):
         off = np.zeros(len(b), bool)
         for p in range(len(b) - 399):
@@ -219,9 +220,37 @@ def test_suffix_dedup(spark, texts):
         kept = np.frombuffer(b, np.uint8)[~off].tobytes()
         runs = int((np.diff(np.concatenate([[0], off.astype(int)])) == 1).sum())
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(b), int(off.sum()), runs, kept)
+        removed += int(off.sum())
+    return removed
+
+
+def test_suffix_dedup(spark, texts):
+    assert _check_repeats(spark, texts) > 0
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_at_edges(spark):
+    rng = random.Random(11)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    base = prose(3000)
+    out = [base]
+    for _ in range(40):  # pieces of one passage that start and end anywhere, so that edges meet edges, inner parts and each other
+        lo = rng.randrange(2500)
+        out.append(prose(rng.randrange(300)) + base[lo : lo + rng.randint(380, 900)] + prose(rng.randrange(300)))
+    for _ in range(30):  # copies that differ at a few places
+        t = list(base)
+        for _ in range(rng.randint(1, 6)):
+            t[rng.randrange(len(t))] = "#"
+        out.append("".join(t))
+    twin = prose(400)
+    out += [twin + "x" + prose(50), "y" + twin, base[:399], base[:400], base[5:405] * 2, "ab" * 700, "ab" * 500 + "c", "a" * 399, "z" * 400, "z" * 401, "é" * 250 + prose(200) + "é" * 250]
+    out += [out[3]] * 3 + [prose(500) for _ in range(5)]
+    assert _check_repeats(spark, out) > 0
+
+
 def test_metric_search(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(120)]
