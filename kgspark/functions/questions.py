@@ -85,15 +85,15 @@ def domain_keywords(q: Column) -> Column:
         F.array(*[F.when(_any_word(low, cues), F.lit(d)) for d, cues in C.DOMAIN_WORDS.items()]), lambda d: d.isNotNull()))
 
 
-def answer_type_hints(paths: Column, first: int = 5) -> Column:
-    """Kinds of answers the last relations of the first paths announce, distinct, in path order."""
+def answer_type_hints(paths: Column, first: int | None = None) -> Column:
+    """Kinds of answers the last relations of the ``first`` paths (all without it) announce, distinct, in path order."""
     rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in C.ANSWER_TYPES.items()])
 
     def one(path):
         last = F.lower(S.strip(F.substring_index(path, "->", -1)))
         return S.let(last, lambda low: F.get(F.filter(rules, lambda r: F.contains(low, r["k"])), F.lit(0))["v"])
 
-    return F.array_distinct(F.filter(F.transform(F.slice(paths, 1, first), one), lambda v: v.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(paths if first is None else F.slice(paths, 1, first), one), lambda v: v.isNotNull()))
 
 
 # --- entity spotting -------------------------------------------------------------------------------------------------

@@ -234,7 +234,9 @@ def to_string_list(c: Column, is_array: bool) -> Column:
 
 
 def hash_bucket(c: Column, n: int = 50000) -> Column:
-    return (F.pmod(F.xxhash64(c), F.lit(n)) + 1).cast("int")
+    """1 to n by the first 32 bits of the text's md5; null counts as empty."""
+    digest = F.md5(F.coalesce(c.cast("string"), F.lit("")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n + 1).cast("int")
 
 
 def sparql_mids(c: Column) -> Column:
@@ -251,7 +253,8 @@ def sort_paths(paths: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["p"])
 
 
-def sort_path_texts(texts: Column, n: int = 10) -> Column:
-    """Path texts by number of arrows, then text; the first n, one per line."""
+def sort_path_texts(texts: Column, n: int | None = None) -> Column:
+    """Path texts by number of arrows, then text; the first n (all without it), one per line."""
     keyed = F.transform(texts, lambda t: F.struct((F.size(F.split(t, "-->")) - 1).alias("h"), t.alias("t")))
-    return F.array_join(F.slice(F.transform(F.array_sort(keyed), lambda s: s["t"]), 1, n), "\n")
+    listed = F.transform(F.array_sort(keyed), lambda s: s["t"])
+    return F.array_join(listed if n is None else F.slice(listed, 1, n), "\n")

@@ -239,26 +239,28 @@ def path_entities(topics: DataFrame, ranked: DataFrame, triples: DataFrame, max_
     return top_per(once, ["qid", "rank"], ["trail", "entity"], per_path, "no").select("qid", "rank", "path", "no", "entity")
 
 
-def direct_selection(ranked: DataFrame, gold: DataFrame, entities: DataFrame) -> DataFrame:
-    """Analysis only, it looks at gold: the first five entities of the last matching top-five path, comma-joined, or null.
+def direct_selection(ranked: DataFrame, gold: DataFrame, entities: DataFrame, within: int | None = None, per_path: int | None = None) -> DataFrame:
+    """Analysis only, it looks at gold: the first ``per_path`` entities of the last matching path among the first ``within``, comma-joined,
+    or null; all entities and all paths without these bounds.
 
     ``entities`` is the output of ``path_entities``.
     """
     low = gold.select("qid", F.lower("path").alias("low")).distinct()
-    match = ranked.filter(F.col("rank") <= 5).withColumn("low", F.lower("path")).join(low, ["qid", "low"], "left_semi").select("qid", "rank")
-    e = entities.filter(F.col("no") <= 5).join(match, ["qid", "rank"], "left_semi")
+    match = (ranked if within is None else ranked.filter(F.col("rank") <= within)).withColumn("low", F.lower("path")).join(low, ["qid", "low"], "left_semi").select("qid", "rank")
+    e = (entities if per_path is None else entities.filter(F.col("no") <= per_path)).join(match, ["qid", "rank"], "left_semi")
     last = e.groupBy("qid").agg(F.max("rank").alias("rank"))
     text = e.join(last, ["qid", "rank"]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("no", "entity"))).alias("s"))
     return ranked.select("qid").distinct().join(text, "qid", "left").select("qid", F.array_join(F.transform("s", lambda x: x["entity"]), ", ").alias("answer"))
 
 
-def entities_from_paths(ranked: DataFrame, gold: DataFrame | None = None, top_paths: int | None = None, cap: int | None = None) -> DataFrame:
+def entities_from_paths(ranked: DataFrame, gold: DataFrame | None = None, top_paths: int | None = None, cap: int | None = None,
+                        within: int | None = None) -> DataFrame:
     """Entities written in the path texts, in order, without repeats, the first ``cap`` (all without one). With gold (analysis only) just
-    those of the first matching top-five path."""
+    those of the first matching path, looked for among the first ``within`` if given."""
     r = ranked if top_paths is None else ranked.filter(F.col("rank") <= top_paths)
     if gold is not None:
         low = gold.select("qid", F.lower("path").alias("low")).distinct()
-        hit = r.filter(F.col("rank") <= 5).withColumn("low", F.lower("path")).join(low, ["qid", "low"], "left_semi")
+        hit = (r if within is None else r.filter(F.col("rank") <= within)).withColumn("low", F.lower("path")).join(low, ["qid", "low"], "left_semi")
         r = first_per(hit.drop("low"), ["qid"], ["rank"])
     rows = r.select("qid", "rank", F.posexplode(S.entities_of_path(F.col("path"))).alias("i", "entity")).filter(~is_machine_id(F.col("entity")))
     once = first_per(rows, ["qid", "entity"], ["rank", "i"])

@@ -118,11 +118,12 @@ def training_format(samples: DataFrame) -> DataFrame:
     return samples.select("id", "question", "answer", "q_entity", "a_entity", S.sort_paths(_distinct_paths(F.col("paths"))).alias("paths"))
 
 
-def instruction_rows(samples: DataFrame) -> DataFrame:
+def instruction_rows(samples: DataFrame, n: int | None = None) -> DataFrame:
+    """Instruction, question with answers, and the ``n`` shortest path texts (all without it)."""
     texts = F.array_distinct(F.filter(F.transform("paths", lambda p: p["full_path"]), lambda t: F.coalesce(t, F.lit("")) != ""))
     return samples.select("id", F.lit(C.INSTRUCTION).alias("instruction"),
                           F.concat(F.lit("Question: "), F.col("question"), F.lit("\nAnswer: "), S.join_answers(F.col("answer"))).alias("input"),
-                          S.sort_path_texts(texts).alias("output"))
+                          S.sort_path_texts(texts, n).alias("output"))
 
 
 def compact_rows(samples: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def resolve_patterns(preds: DataFrame, patterns: DataFrame) -> DataFrame:
     return out
 
 
-def encode_paths(paths: DataFrame, entity_vocab: DataFrame, relation_vocab: DataFrame, order: list[str], max_len: int = 10, max_paths: int = 20) -> DataFrame:
+def encode_paths(paths: DataFrame, entity_vocab: DataFrame, relation_vocab: DataFrame, order: list[str], max_len: int, max_paths: int) -> DataFrame:
     """``(qid, no, entity_ids, relation_ids, length)``: diverse paths cut to ``max_len``, begin and end marks, padding.
 
     At most ``max_paths`` paths of at most ``max_len`` tokens per question are looked up in the vocabularies.
@@ -190,19 +191,21 @@ def encode_triples(triples: DataFrame, relation_vocab: DataFrame, buckets: int =
         "gid", "triple_idx", "relation_id", S.hash_bucket(F.col("subj"), buckets).alias("head_id"), S.hash_bucket(F.col("obj"), buckets).alias("tail_id"), F.lit(1.0).alias("mask"))
 
 
-def context_rows(questions: DataFrame, ranked: DataFrame, entities: DataFrame, top_paths: int = 3, with_graph: bool = True) -> DataFrame:
+def context_rows(questions: DataFrame, ranked: DataFrame, entities: DataFrame, top_paths: int | None = None, with_graph: bool = True,
+                 candidates: int | None = None) -> DataFrame:
     """Prompt text per question. ``entities`` is the output of ``path_entities``; paths without entities get no line.
 
-    Lists here are short: ``top_paths`` paths and a few entities each.
+    ``top_paths`` and ``candidates`` bound the paths and the candidates of a prompt; without them all are written.
     """
-    e = entities.filter(F.col("rank") <= top_paths)
+    best = lambda rows: rows if top_paths is None else rows.filter(F.col("rank") <= top_paths)
+    e = best(entities)
     lines = e.groupBy("qid", "rank", "path").agg(F.array_sort(F.collect_list(F.struct("no", "entity"))).alias("s")).select(
         "qid", "rank", F.concat(F.lit("• "), F.col("path"), F.lit(": "), F.array_join(F.transform("s", lambda x: x["entity"]), ", ")).alias("line"))
     if not with_graph:
-        lines = ranked.filter(F.col("rank") <= top_paths).select("qid", "rank", F.concat(F.lit("• "), F.col("path")).alias("line"))
+        lines = best(ranked).select("qid", "rank", F.concat(F.lit("• "), F.col("path")).alias("line"))
     text = lines.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     once = first_per(e.withColumn("low", F.lower("entity")).select("qid", "low", "entity", "rank", "no"), ["qid", "low"], ["rank", "no"])
-    cand = top_per(once, ["qid"], ["rank", F.col("no")], 10, "k").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("k", "entity"))).alias("c"))
+    cand = top_per(once, ["qid"], ["rank", F.col("no")], candidates, "k").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("k", "entity"))).alias("c"))
     q = questions.select("qid", "question").join(text, "qid", "left").join(cand, "qid", "left")
     full = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nKG paths and entities:\n"),
                     F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("No paths")), F.lit("\n\nCandidates: "),

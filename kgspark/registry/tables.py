@@ -27,11 +27,12 @@ sql = with_tables
 joined = lambda c: F.array_join(c, "|")
 
 
-@query("answer_by_traversal", sql("sold", "a_entities", body="""select a.qid, c.n candidates, count(*) answers, round(count(s.r_name) / count(*)::double, 6) entity_recall
-  from a_entities a join (select gid, count(distinct r_name) n from sold group by gid) c on c.gid = a.qid left join (select distinct gid, r_name from sold) s on s.gid = a.qid and s.r_name = a.entity group by a.qid, c.n"""))
+@query("answer_by_traversal", sql("sold", "bought", "a_entities", reached="""select gid, r_name from sold union select gid, r_name from bought join orders on o_orderkey = gid where o_orderstatus = 'F'""",
+  body="""select a.qid, c.n candidates, count(*) answers, round(count(s.r_name) / count(*)::double, 6) entity_recall
+  from a_entities a join (select gid, count(*) n from reached group by gid) c on c.gid = a.qid left join reached s on s.gid = a.qid and s.r_name = a.entity group by a.qid, c.n"""))
 def _(s, d):
     starts = K.q_entities(s, d).withColumn("gid", F.lit(0).cast("bigint"))
-    path = K.gold(s, d).filter("path_no = 0").select("qid", F.lit(0).alias("path_id"), F.split("path", " -> ").alias("relations"))
+    path = K.gold(s, d).select("qid", F.col("path_no").alias("path_id"), F.split("path", " -> ").alias("relations"))
     return A.answer_by_traversal(starts, path, K.triples(s, d), K.a_entities(s, d))
 
 
@@ -106,14 +107,18 @@ def _(s, d):
     return big(I.encode_tokens(t, half_vocab(s, d), "token").select("qid", "path_no", "i", "idx"))
 
 
-@query("decode_tokens", sql("orders_" if False else "chains", body="""select o_orderkey qid, 0::bigint path_no, 'a -> b' path from orders where true
-  union all select o_orderkey, 1, 'c' from orders union all select o_orderkey, 3, 'b' from orders where o_orderkey % 2 = 0""").replace("where true", ""))
+@query("decode_tokens", sql("paths", "triples", v="select token, row_number() over (order by token) + 4 idx from (select distinct subj token from triples where subj < 'P') x",
+       t="select qid, path_no, i, coalesce(idx, 1) idx from (select qid, path_no, unnest(entities) token, unnest(range(len(entities))) i from paths) x left join v using (token) union all select qid, path_no, len(entities), 0 from paths",
+       r="select *, sum(case when idx < 3 then 1 else 0 end) over (partition by qid order by path_no, i rows unbounded preceding) run from t",
+       g="select qid, run, string_agg(token, ' -> ' order by path_no, i) path from r join v using (idx) group by qid, run",
+       body="select qid, cast(min(run) as bigint) path_no, path from g group by qid, path"))
 def _(s, d):
-    vocab = s.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, idx bigint")
-    b = lambda *xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
-    seq = F.when(F.col("o_orderkey") % 2 == 0, b(3, 4, 0, 5, 2, 0 + 1, 4)).otherwise(b(3, 4, 0, 5, 1, 3, 4))
-    rows = K.table(s, d, "orders").select(F.col("o_orderkey").alias("qid"), seq.alias("indices"))
-    return I.decode_tokens(rows, vocab).withColumn("path_no", F.when(F.col("path_no") == 3, 3).otherwise(F.col("path_no")).cast("bigint"))
+    """The paths' entities as numbers of half a vocabulary, with padding after each path, read back."""
+    vocab = half_vocab(s, d)
+    p = K.paths(s, d).select("qid", "path_no", F.posexplode(F.concat("entities", F.array(F.lit(None).cast("string")))).alias("i", "token"))
+    coded = I.encode_tokens(p, vocab, "token").select("qid", "path_no", "i", F.when(F.col("token").isNull(), 0).otherwise(F.col("idx")).cast("bigint").alias("idx"))
+    rows = coded.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("path_no", "i", "idx"))).alias("s")).select("qid", F.transform("s", lambda x: x["idx"]).alias("indices"))
+    return I.decode_tokens(rows, vocab).withColumn("path_no", F.col("path_no").cast("bigint"))
 
 
 _PID = "'path_' || array_to_string(list_transform(relations, lambda r: replace(r, '.', '_')), '_')"
@@ -390,7 +395,7 @@ def _(s, d):
 @query("small_corpus_bypass", sql("chains", body="select o_orderkey qid, path_id + 1 as rank, path_id from orders, chains"))
 def _(s, d):
     corpus = K.ranked(s, d).select("path_id", "path").distinct()
-    return big(J.small_corpus_bypass(K.questions(s, d), corpus, lambda: None).select("qid", "rank", "path_id"))
+    return big(J.small_corpus_bypass(K.questions(s, d), corpus, lambda: J.bm25_search(K.questions(s, d), J.bm25_index(corpus, "path"), 1000)).select("qid", "rank", "path_id"))
 
 
 @query("retrieve_filter_topk", sql("ranked", body="select qid, k as rank, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from ranked where rank <= 6 and score >= 0.2 and list_has_any(string_split(path, ' -> '), ['order.order.supplier'])) x where k <= 2"))
@@ -404,9 +409,9 @@ def _(s, d):
     return big(J.bm25_search(q, J.bm25_index(doc_corpus(s, d), "split"), 5, "split").select("qid", "rank", "path_id"))
 
 
-@query("hyde_text", sql("questions", "gold", body="select q.qid, question || ' Expected Path: ' || path out from questions q join gold g on g.qid = q.qid and path_no = 0"))
+@query("hyde_text", sql("questions", "gold", body="select q.qid, question || ' Expected Path: ' || path out from questions q join gold g on g.qid = q.qid"))
 def _(s, d):
-    r = K.questions(s, d).join(K.gold(s, d).filter("path_no = 0"), "qid")
+    r = K.questions(s, d).join(K.gold(s, d), "qid")
     return r.select("qid", J.hyde_text(F.col("question"), F.col("path")).alias("out"))
 
 
@@ -443,7 +448,7 @@ def _(s, d):
     topics = K.q_entities(s, d).withColumn("gid", F.col("qid"))
     r = K.ranked(s, d)
     e = J.path_entities(topics, r, K.subgraphs(s, d), 3)
-    return J.direct_selection(r, K.gold(s, d), e).select("qid", F.length("answer").cast("bigint").alias("size"))
+    return J.direct_selection(r, K.gold(s, d), e, 5, 5).select("qid", F.length("answer").cast("bigint").alias("size"))
 
 
 @query("entities_from_paths", sql("paths", body="""select qid, cast(row_number() over (partition by qid order by path_no, i) as bigint) pos, entity from (
@@ -528,7 +533,7 @@ def _(s, d):
 @query("instruction_rows", sql("paths", "questions", "a_entities", body=f"""select q.qid id, '{C.INSTRUCTION}' instruction, 'Question: ' || question || chr(10) || 'Answer: ' || coalesce((select string_agg(entity, ', ' order by pos) from a_entities a where a.qid = q.qid), '') input,
   coalesce((select string_agg(full_path, chr(10) order by len(relations), full_path) from (select *, row_number() over (partition by qid order by len(relations), full_path) k from paths) p where p.qid = q.qid and k <= 10), '') output from questions q"""))
 def _(s, d):
-    return N.instruction_rows(K.samples(s, d))
+    return N.instruction_rows(K.samples(s, d), 10)
 
 
 @query("compact_rows", sql("samples", body="select id, array_to_string(answer, ', ') answer, array_to_string(list_transform(paths, lambda p: p.relation_chain), '|') relation_chains from samples"))
@@ -589,7 +594,9 @@ def _(s, d):
     return e.select("gid", "triple_idx", "relation_id", (F.col("head_id").between(1, 50000) & F.col("tail_id").between(1, 50000) & (F.col("mask") == 1)).alias("in_range"))
 
 
-@query("encode_triples")
+@query("encode_triples", sql("subgraphs", v="select token, row_number() over (order by token) + 2 idx from (select distinct rel token from subgraphs) x",
+  body="""select gid, triple_idx, idx relation_id, cast(('0x' || left(md5(subj), 8))::bigint % 50000 + 1 as integer) head_id, cast(('0x' || left(md5(obj), 8))::bigint % 50000 + 1 as integer) tail_id, 1::double mask
+  from subgraphs join v on token = rel"""))
 def _(s, d):
     return N.encode_triples(K.subgraphs(s, d), I.relation_vocabulary(K.subgraphs(s, d), K.paths(s, d)))
 
@@ -599,7 +606,7 @@ def _(s, d):
 def _(s, d):
     r = K.ranked(s, d).filter(F.col("path_id").isin(3, 5)).withColumn("rank", F.when(F.col("path_id") == 3, 1).otherwise(2))
     e = J.path_entities(K.q_entities(s, d).withColumn("gid", F.col("qid")), r, K.subgraphs(s, d).filter(F.col("rel").isin(K.TO_CUSTOMER, K.CUSTOMER_NATION)), 2)
-    return N.context_rows(K.questions(s, d), r, e)
+    return N.context_rows(K.questions(s, d), r, e, 3, candidates=10)
 
 
 _CH = "('0x' || left(md5({x}), 8))::bigint / 4294967296::double"
@@ -612,7 +619,15 @@ def _(s, d):
     return K.questions(s, d).select("qid", N.augment_question(F.col("question"), F.col("qid"), drop=0.3).alias("out"))
 
 
-@query("augment_question_all")
+_AT = lambda tag: _CH.format(x=f"'42|{tag}|' || qid")
+
+
+@query("augment_question_all", sql("questions", w="select qid, string_split(question, ' ') w from questions",
+       k=f"select qid, w, list_filter(list_transform(range(len(w)), lambda i: case when {_CH.format(x=chr(39) + '42|drop|' + chr(39) + ' || qid || ' + chr(39) + '|' + chr(39) + ' || i')} > 0.1 then w[i + 1] end), lambda x: x is not null) kept from w",
+       a=f"select qid, case when len(kept) > 0 then kept else w end w, {_AT('i')} ci, {_AT('j')} cj, {_AT('swap')} cs, {_AT('at')} ca, {_AT('delete')} cd from k",
+       b="select *, floor(ci * len(w))::int i, (floor(ci * len(w))::int + 1 + floor(cj * (len(w) - 1))::int) % len(w) j from a",
+       c="select *, case when len(w) >= 2 and cs < 0.5 then list_transform(range(len(w)), lambda p: case when p = i then w[j + 1] when p = j then w[i + 1] else w[p + 1] end) else w end x from b",
+       body="""select qid, array_to_string(case when len(x) > 1 and cd < 0.5 then list_concat(list_slice(x, 1, floor(ca * len(x))::int), list_slice(x, floor(ca * len(x))::int + 2, len(x))) else x end, ' ') out from c"""))
 def _(s, d):
     return K.questions(s, d).select("qid", N.augment_question(F.col("question"), F.col("qid"), 42, 0.1, 0.5, 0.5).alias("out"))
 

@@ -102,9 +102,9 @@ path_rule("relation_matches", lambda E_, R_, FP: S.relation_matches(F.get(R_, F.
 path_rule("hash_bucket_range", lambda E_, R_, FP: (S.hash_bucket(F.get(E_, F.lit(0))).between(1, 50000)), "true")
 
 
-@query("hash_bucket")
+@query("hash_bucket", with_tables("paths", body="select qid, path_no, cast(('0x' || left(md5(entities[1]), 8))::bigint % 50000 + 1 as integer) as out from paths"))
 def _(s, d):
-    return K.paths(s, d).select("qid", "path_no", S.hash_bucket(F.get("entities", F.lit(0))).alias("out"))
+    return K.paths(s, d).select("qid", "path_no", S.hash_bucket(F.get("entities", F.lit(0))).alias("out")).withColumn("path_no", F.col("path_no").cast("bigint"))
 
 
 @query("sort_paths", with_tables("paths", body="select qid id, string_agg(full_path, chr(10) order by len(relations), full_path) out from paths group by qid"))
@@ -114,7 +114,7 @@ def _(s, d):
 
 @query("sort_path_texts", with_tables("paths", body="select qid id, string_agg(full_path, chr(10) order by len(relations), full_path) out from (select *, row_number() over (partition by qid order by len(relations), full_path) k from paths) x where k <= 10 group by qid"))
 def _(s, d):
-    return K.samples(s, d).filter(F.size("paths") > 0).select("id", S.sort_path_texts(F.transform("paths", lambda p: p["full_path"])).alias("out"))
+    return K.samples(s, d).filter(F.size("paths") > 0).select("id", S.sort_path_texts(F.transform("paths", lambda p: p["full_path"]), 10).alias("out"))
 
 
 @query("join_answers", with_tables("a_entities", body="select qid id, string_agg(entity, ', ' order by pos) out from a_entities group by qid"))
@@ -216,7 +216,7 @@ def _(s, d):
 def _(s, d):
     p = F.replace(F.replace("path", F.lit("nation.region"), F.lit("nation.location.region")), F.lit("order.customer"), F.lit("order.currency.customer"))
     lists = K.ranked(s, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", p.alias("p")))).alias("l"))  # eight paths per question
-    return lists.select("qid", F.array_join(Q.answer_type_hints(F.transform("l", lambda x: x["p"])), "|").alias("out"))
+    return lists.select("qid", F.array_join(Q.answer_type_hints(F.transform("l", lambda x: x["p"]), 5), "|").alias("out"))
 
 
 _P = plain_sql("text")

@@ -66,3 +66,26 @@ def test_lists_have_no_default_caps(spark):
     written = spark.createDataFrame([(1, i + 1, f"hub -> a.b.c -> leaf {i:02}") for i in range(n)], "qid long, rank int, path string")
     few, many = retrieval.entities_from_paths(written, None, 10, 15).count(), retrieval.entities_from_paths(written).count()
     assert few < n <= many
+
+
+def test_texts_and_prompts_have_no_default_caps(spark):
+    from pyspark.sql import functions as F
+
+    from kgspark.functions import questions as Q
+    from kgspark.functions import scalars as S
+    from kgspark.operators import training
+
+    n = 30
+    row = spark.range(1).select(F.array(*[F.lit(f"(a) --[r]--> (b{i:02})") for i in range(n)]).alias("t"), F.array(*([F.lit("a.b.c")] * 8 + [F.lit("x.location.region")])).alias("p"))
+    got = row.select(S.sort_path_texts(F.col("t")).alias("all"), S.sort_path_texts(F.col("t"), 4).alias("few"), Q.answer_type_hints(F.col("p")).alias("far"), Q.answer_type_hints(F.col("p"), 5).alias("near"),
+                     S.hash_bucket(F.lit(None), 7).alias("null"), S.hash_bucket(F.lit(""), 7).alias("empty")).first()
+    assert (got["all"].count("\n"), got["few"].count("\n")) == (n - 1, 3)
+    assert got["far"] and not got["near"]
+    assert got["null"] == got["empty"]
+    questions = spark.createDataFrame([(1, "which")], "qid long, question string")
+    ranked = spark.createDataFrame([(1, i + 1, f"p{i}") for i in range(n)], "qid long, rank int, path string")
+    entities = spark.createDataFrame([(1, i + 1, f"p{i}", 1, f"e{i}") for i in range(n)], "qid long, rank int, path string, no int, entity string")
+    prompt = training.context_rows(questions, ranked, entities).first()["prompt"]
+    few = training.context_rows(questions, ranked, entities, 3, candidates=2).first()["prompt"]
+    assert (prompt.count("• "), prompt.split("Candidates: ")[1].split("\n")[0].count(",")) == (n, n - 1)
+    assert (few.count("• "), few.split("Candidates: ")[1].split("\n")[0]) == (3, "e0, e1")
