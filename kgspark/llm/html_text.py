@@ -3,8 +3,10 @@
 1. Every page is read once and each of its containers is scored: how much running text it holds directly in its blocks, less what
    stands in links, and nothing for menus, headers, footers, sidebars, notices, adverts, forms and comments. These are known by their
    tags; words of an element's names only lower what it holds (``NAMED``). The best container's path (tags with their classes, digits
-   generalised) is the page's vote. Of the chosen container, inner elements with such names are left out if they hold no article or main and less
-   than half of its text outside links, unless nothing else is in it.
+   generalised) is the page's vote. Of the chosen container, inner elements with such names are left out: those named as comments, adverts
+   and the like (``FOREIGN``) always, others, which also name wrappers, if they hold less than half of its text outside links; neither if
+   they hold an article or main (one inside another article is a comment and does not count), or if nothing else is in the container.
+   Of an article's own header its headings stay.
 2. Spark adds the votes per host and path. Votes are aggregated before they are shuffled, so a host with a third of all pages is no hot key.
    All paths with votes are kept.
 3. The containers of a page meet the votes of their paths by (host, path), in ``SALTS`` parts. The path with the largest product of the
@@ -49,6 +51,8 @@ NAMED = 0.3  # what text counts in elements whose names are of BOILERPLATE
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
 BOILERPLATE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|foot(?:er)?|form|head(?:er)?|legal|login|masthead|menu|meta|modal|nav\w*|"
                          r"newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s\d])", re.I)
+FOREIGN = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|comments?|cookies?|consent|disqus|newsletter|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|social|sponsor\w*|subscribe)(?:$|[-_\s\d])", re.I)
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 DIGITS = re.compile(r"\d+")
@@ -59,9 +63,10 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
-        self.stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, hidden, number of the element if its name is of BOILERPLATE (or -1)
+        self.stack: list[tuple[str, str, int, int]] = []  # tag, step of the path, hides (-1: shows again), number of the element if its name is of BOILERPLATE (or -1)
         self.holds: list[float] = []  # per such element the text outside links that it holds; no bound if an article
         self.above: list[int] = []  # per such element the number of containers about it
+        self.foreign: list[bool] = []  # per such element whether its name is of FOREIGN
         self.under: list[tuple[int, ...]] = []  # per block the elements with such a name about it
         self.parts: list[str] = []
         self.linked = 0
@@ -119,10 +124,14 @@ class Page:
                         break
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = " ".join(named.values())
-        hides = tag in SILENT or tag in ASIDE
+        hides = int(tag in SILENT or tag in ASIDE)
+        if tag in HEADING:
+            hiding = [i for i, e in enumerate(self.stack) if e[2]]
+            if len(hiding) == 1 and self.stack[hiding[0]][0] == "header" and any(e[0] in ("article", "main") for e in self.stack[: hiding[0]]):
+                hides = -1
         number = -1
-        if tag in ("article", "main"):
-            if not any(e[2] for e in self.stack):
+        if tag in ("article", "main") and not FOREIGN.search(names):
+            if not any(e[2] or e[0] == "article" for e in self.stack):
                 for e in self.stack:
                     if e[3] >= 0:
                         self.holds[e[3]] = float("inf")
@@ -130,6 +139,7 @@ class Page:
             number = len(self.holds)
             self.holds.append(0)
             self.above.append(sum(bool(e[1]) for e in self.stack))
+            self.foreign.append(bool(FOREIGN.search(names)))
         step = ".".join([tag, *sorted(DIGITS.sub("#", named.get("class", "")).split())]) if tag in CONTAINER else ""
         self.stack.append((tag, step, hides, number))
         return hides - less
@@ -169,7 +179,8 @@ class Page:
         path = path or ()
         own = [(t, n, names) for (p, t, n), names in zip(self.blocks, self.under) if p[: len(path)] == path]
         whole = sum(max(len(t) - n, 0) for t, n, _ in own)
-        kept = [t for t, _, names in own if not any(self.above[i] >= len(path) and 2 * self.holds[i] < whole for i in names)]
+        gone = lambda i: self.above[i] >= len(path) and self.holds[i] < float("inf") and (self.foreign[i] or 2 * self.holds[i] < whole)
+        kept = [t for t, _, names in own if not any(map(gone, names))]
         return "\n".join(kept or [t for t, _, _ in own])
 
 
