@@ -16,7 +16,8 @@ With ``BANDS`` bands of ``ROWS`` rows two sets at similarity 0.85 miss every com
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a set holds the distinct runs of ``shingle`` words,
 or the whole sequence if there are fewer; a text without words (or null) has an empty set and no links; a row with a null id has no
-links, no component, and is kept; rows with equal id and text are one; ties go to the smaller id; an empty table gives an empty
+links, no component, and is kept; rows with equal id and text are one; of rows with equal id and different text, links are checked on
+the smallest text; ties go to the smaller id; an empty table gives an empty
 result; other columns may have any name.
 """
 
@@ -37,6 +38,7 @@ from .components import components
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SKETCH = 1024  # bits
+LONG = 64  # bytes of a word beyond which it is named by a digest
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +66,10 @@ def _word_hashes(text: str) -> np.ndarray:
         for name, base in (("up", _ODD), ("down", inverse)):
             _POWERS[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][: len(raw)])])
-    return _mix((sums[end] - sums[first]) * _POWERS["down"][first] + (end - first).astype(np.uint64))
+    out = _mix((sums[end] - sums[first]) * _POWERS["down"][first] + (end - first).astype(np.uint64))
+    for i in np.flatnonzero(end - first > LONG):  # sums modulo 2^64 of long patterns may cancel
+        out[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:

@@ -293,6 +293,29 @@ def test_html_names_do_not_hide_articles():
     assert inner.text(inner.best()) == text
 
 
+def test_html_leaves_out_comments_and_adverts_of_any_length():
+    story, talk = "<p>A short story of the day.</p>", f"<p>{'Me too, I say, and more. ' * 20}</p>"
+    for source in (f'<article>{story}<div class="comments">{talk}</div></article>', f'<main>{story}<section id="comments">{talk}</section></main>',
+                   f'<body><div class="post">{story}<div class="advert">{talk}</div></div></body>',
+                   f'<article>{story}<div class="comments"><article class="comment-body">{talk}</article></div></article>',
+                   f'<article>{story}<div class="comments"><article>{talk}</article></div></article>'):
+        page = html_text.Page(source)
+        path = min((p for p, _, _ in page.blocks), key=len)
+        assert page.text(path) == "A short story of the day.", source
+    head = html_text.Page(f"<header><h1>Site</h1></header><article><header><p>By x</p><h1>The <i>head</i></h1><p>today</p></header>{story}<footer><h2>No</h2></footer></article>")
+    assert head.text(head.best()) == "The head\nA short story of the day."
+    deep = html_text.Page("<div>" * 3000 + story + "</div>" * 1000 + talk)
+    assert deep.text(()).startswith("A short story of the day.\nMe too")
+
+
+def test_near_dedup_tells_long_words_apart():
+    a, b = "a", "b"
+    for _ in range(11):  # sums modulo 2^64 over these two cancel
+        a, b = a + b, b + a
+    assert near_dedup.shingle_set(f"{a} x y", 3)[0] != near_dedup.shingle_set(f"{b} x y", 3)[0]
+    assert (near_dedup.shingle_set(f"{a.upper()} x y", 3) == near_dedup.shingle_set(f"{a} X y", 3)).all()
+
+
 def test_html_layouts_of_one_host(spark):
     def page(n, kind, teaser=""):
         return f'<body><div class="{teaser or "x"}"><p>Teaser {n}.</p></div><div class="{kind}"><p>{f"Article {n} in its own container. " * 5}</p></div></body>'
