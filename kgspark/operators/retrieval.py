@@ -94,8 +94,8 @@ def normalise(vec: Column) -> Column:
     return S.let(norm, lambda n: F.transform(vec, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
 
 
-def _matrix(col: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.chunked_array(col).combine_chunks() if not isinstance(col, pa.ChunkedArray) else col.combine_chunks()
+def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
@@ -156,7 +156,9 @@ def dense_search_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int =
                      rows_per_part: int = 65536) -> DataFrame:
     """Approximate search: cluster the corpus, look only into the ``nprobe`` nearest clusters of each query.
 
-    The few centroids are part of the plan. A cluster that holds many vectors is split into parts of bounded size.
+    Tasks get the ``nlist`` centroids as one broadcast matrix (``nlist`` times the dimension, whatever the size of the corpus) and find the
+    nearest ones of a batch of queries by one product. A cluster that holds many vectors is split into parts of bounded size. With
+    ``nprobe = nlist`` the search is exact.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -166,17 +168,23 @@ def dense_search_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int =
     placed = cut_lineage(model.transform(vectors).select("path_id", "vec", "cluster"))
     parts = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("bigint").alias("parts"))  # nlist rows
     width = F.lit(1 << 20)
-    fl = lambda: F.col("vec").cast("array<float>").alias("vec")
-    c = placed.join(F.broadcast(parts), "cluster").select(
-        (F.col("cluster") * width + F.pmod(F.xxhash64("path_id"), F.col("parts"))).alias("cell"), "path_id", fl())
-    # nearest centroids: |x|^2 is the same for all, so compare 2 x.m - |m|^2
-    cents = F.array(*[F.struct(F.lit(i).alias("cluster"), F.array(*[F.lit(float(x)) for x in m]).alias("m"), F.lit(float(np.dot(m, m))).alias("n"))
-                      for i, m in enumerate(model.clusterCenters())])
-    score = lambda s: F.aggregate(F.zip_with("vec", s["m"], lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v) * -2.0 + s["n"]
-    near = F.slice(F.array_sort(F.transform(cents, lambda s: F.struct(score(s).alias("d"), s["cluster"].alias("cluster")))), 1, nprobe)
-    q = queries.select("qid", "vec", F.transform(near, lambda s: s["cluster"]).alias("probes"))
-    q = q.select(F.col("qid"), fl(), F.explode("probes").alias("cluster"))
-    q = q.join(F.broadcast(parts), "cluster").select("qid", "vec", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
+    fl = F.col("vec").cast("array<float>").alias("vec")
+    c = placed.join(parts, "cluster").select((F.col("cluster") * width + F.pmod(F.xxhash64("path_id"), F.col("parts"))).alias("cell"), "path_id", fl)
+    centres = queries.sparkSession.sparkContext.broadcast(np.array([np.asarray(m, np.float64) for m in model.clusterCenters()]))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = centres.value
+        square = (m * m).sum(axis=1)
+        for batch in batches:
+            if batch.num_rows:
+                # nearest centroids: |x|^2 is the same for all, so compare |m|^2 - 2 x.m
+                near = np.argsort(square - 2 * (_matrix(batch.column(1)) @ m.T), axis=1, kind="stable")[:, :nprobe]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel(), pa.int32()), near.shape[1]).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["qid", "vec", "probes"])
+
+    asked = queries.select("qid", fl)
+    q = asked.mapInArrow(probe, f"qid {dict(asked.dtypes)['qid']}, vec array<float>, probes array<int>").select("qid", "vec", F.explode("probes").alias("cluster"))
+    q = q.join(parts, "cluster").select("qid", "vec", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
     return _search_cells(q.select((F.col("cluster") * width + F.col("p")).alias("cell"), "qid", "vec"), c, k)
 
 

@@ -375,6 +375,12 @@ def _(s, d):
     return big(J.dense_search_ivf(vectors(s, d, "qid"), vectors(s, d, "path_id"), 10, nlist=16, nprobe=4))
 
 
+@query("dense_search_ivf_all", f"with {_DOT} select qid, k as rank, score, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 10")
+def _(s, d):
+    """All clusters probed: exact."""
+    return big(J.dense_search_ivf(vectors(s, d, "qid"), vectors(s, d, "path_id"), 10, nlist=16, nprobe=16))
+
+
 @query("normalise", "select vec_id, round(list_inner_product(v, v), 6) length, round(v[1], 6) first from (select vec_id, list_transform(embedding, lambda x: 3 * x::double / (3 * sqrt(list_inner_product(embedding::double[], embedding::double[])))) v from embeddings) x")
 def _(s, d):
     v = J.normalise(F.transform("embedding", lambda x: x.cast("double") * 3))

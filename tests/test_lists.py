@@ -164,6 +164,19 @@ def test_dense_search_is_exact_with_ties(spark, qb, bytes_):
         assert rows(near, "qid", "rank", "path_id") == want
 
 
+def test_clustered_search_finds_most_of_the_exact_list(spark):
+    rng = np.random.default_rng(3)
+    places = rng.normal(0, 1, (40, 16))
+    c = places[rng.integers(0, 40, 1500)] + rng.normal(0, 0.25, (1500, 16))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    q = c[:100] + rng.normal(0, 0.02, (100, 16))
+    vec = lambda m, n: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{n} bigint, vec array<float>")
+    exact = rows(J.dense_search(vec(q, "qid"), vec(c, "path_id"), 10), "qid", "path_id")
+    near = rows(J.dense_search_ivf(vec(q, "qid"), vec(c, "path_id"), 10, nlist=40), "qid", "path_id")
+    assert len(near) == len(exact) and len(set(near) & set(exact)) >= 0.9 * len(exact)
+    assert J.dense_search_ivf(vec(q, "qid").filter("false"), vec(c, "path_id"), 10, nlist=4).count() == 0
+
+
 @pytest.mark.parametrize("size,k", [(10, 3), (7, 7), (1, 2)])
 def test_random_negatives_are_complete_and_clean(spark, size, k):
     corpus = spark.createDataFrame([(i, f"P{i}") for i in range(size)], "path_id bigint, path string")
