@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
+from ..functions import scalars as S
 
 
 def score_pairs(ranked: DataFrame, fn: Callable, batch: int = 32, query: str = "question", doc: str = "path") -> DataFrame:
@@ -38,22 +40,34 @@ def embed(df: DataFrame, text: str, fn: Callable, batch: int = 256, out: str = "
     return df.withColumn(out, encoder(F.col(text)))
 
 
+def _quoted(text: str) -> str:
+    """A SQL literal; characters other than letters, digits and blanks by their code."""
+    return "'" + "".join(c if c.isascii() and (c.isalnum() or c == " ") else f"\\u{ord(c):04x}" for c in text) + "'"
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Temporary SQL functions whose bodies are expressions, so the optimizer can inline them."""
+    """Temporary SQL functions whose bodies are expressions, so the optimizer can inline them.
+
+    They are the scalars of the same names, built from the same constants: white space of any kind, punctuation, articles and key words
+    are those of ``functions``, and nulls give what they give there.
+    """
+    blank, blanks, sep = _quoted(C.WHITESPACE), _quoted(C.WHITESPACE_RE), _quoted(S.SEP)
+    listed = lambda xs: ", ".join(map(_quoted, xs))
+    last = lambda x: f"substring_index({x}, '.', -1)"
+    flat = "concat('path_', array_join(transform(rs, r -> translate(r, '.', '_')), '_'))"
     bodies = {
-        "kg_norm_path(s STRING)": "array_join(transform(split(s, '->'), x -> lower(trim(x))), ' -> ')",
+        "kg_norm_path(s STRING)": f"array_join(transform(split(s, '->'), x -> lower(btrim(x, {blank}))), {sep})",
         "kg_norm_answer(s STRING)":
-            "array_join(filter(split(regexp_replace(lower(s), '\\\\p{Punct}', ''), '\\\\s+'), w -> w not in ('', 'a', 'an', 'the')), ' ')",
+            f"array_join(filter(split(translate(lower(s), {_quoted(C.PUNCTUATION)}, ''), {blanks}), w -> w not in ('', {listed(C.ARTICLES)})), ' ')",
         "kg_relation_matches(a STRING, b STRING)":
-            "contains(a, b) OR contains(b, a) OR substring_index(a, '.', -1) = substring_index(b, '.', -1) OR "
-            "exists(array(" + ", ".join(f"'{k}'" for k in _keywords()) + "), k -> contains(lower(substring_index(a, '.', -1)), k) "
-            "AND contains(lower(substring_index(b, '.', -1)), k))",
+            f"contains(a, b) OR contains(b, a) OR {last('a')} = {last('b')} OR "
+            f"exists(array({listed(C.RELATION_KEYWORDS)}), k -> contains(lower({last('a')}), k) AND contains(lower({last('b')}), k))",
         "kg_relation_to_text(r STRING)":
-            "CASE WHEN size(split(r, '[.]')) >= 3 THEN concat(split_part(r, '.', 2), '\\'s ', replace(split_part(r, '.', 3), '_', ' ')) "
-            "WHEN size(split(r, '[.]')) = 2 THEN replace(split_part(r, '.', 2), '_', ' ') ELSE replace(r, '_', ' ') END",
+            "CASE WHEN size(split(r, '[.]')) >= 3 THEN concat(get(split(r, '[.]'), 1), '\\'s ', translate(get(split(r, '[.]'), 2), '_', ' ')) "
+            "WHEN size(split(r, '[.]')) = 2 THEN translate(get(split(r, '[.]'), 1), '_', ' ') ELSE translate(r, '_', ' ') END",
         "kg_subgraph_id(rs ARRAY<STRING>)":
-            "CASE WHEN size(rs) = 0 THEN 'path_empty' WHEN length(array_join(transform(rs, r -> replace(r, '.', '_')), '_')) > 95 "
-            "THEN concat('path_', substr(md5(array_join(rs, '|')), 1, 8)) ELSE concat('path_', array_join(transform(rs, r -> replace(r, '.', '_')), '_')) END",
+            f"CASE WHEN coalesce(size(rs), 0) = 0 THEN 'path_empty' WHEN length({flat}) > 100 "
+            f"THEN concat('path_', substr(md5(array_join(rs, '|')), 1, 8)) ELSE {flat} END",
     }
     kinds = {"kg_relation_matches": "BOOLEAN"}
     names = []
@@ -62,9 +76,3 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kinds.get(name, 'STRING')} RETURN {body}")
         names.append(name)
     return names
-
-
-def _keywords() -> list[str]:
-    from ..functions.constants import RELATION_KEYWORDS
-
-    return RELATION_KEYWORDS

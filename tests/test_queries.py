@@ -89,3 +89,24 @@ def test_texts_and_prompts_have_no_default_caps(spark):
     few = training.context_rows(questions, ranked, entities, 3, candidates=2).first()["prompt"]
     assert (prompt.count("• "), prompt.split("Candidates: ")[1].split("\n")[0].count(",")) == (n, n - 1)
     assert (few.count("• "), few.split("Candidates: ")[1].split("\n")[0]) == (3, "e0, e1")
+
+
+def test_sql_functions_equal_the_scalars(spark):
+    from pyspark.sql import functions as F
+
+    from kgspark.functions import scalars as S
+    from kgspark.operators import hooks
+
+    hooks.register_sql_functions(spark)
+    texts = [None, "", " ", "\u00a0The\u2003Answer\u3000is\x85an, A\x1c(b)! \u00a0", "a.b.c_d", "people.person.place_of_birth", "x.y_z", "plain_text", "\u2028A -> \u00a0B\x0b->C ->", "it's \"quoted\" \\ back", "é.Ü.ß_x",
+             "¿qué? — “no”", "a..b", ".", "location.location.containedby", "the"]
+    rows = [(i, a, b, None if i % 7 == 0 else [a, b, a][: i % 4]) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    rows += [(-1, "r", "r", ["relation.with.a_long_name"] * 5), (-2, "r", "r", ["x" * 95]), (-3, "r", "r", ["x" * 96])]
+    table = spark.createDataFrame(rows, "i long, a string, b string, rs array<string>")
+    pairs = {"kg_norm_path(a)": S.norm_path(F.col("a")), "kg_norm_answer(a)": S.norm_answer(F.col("a")), "kg_relation_matches(a, b)": S.relation_matches(F.col("a"), F.col("b")),
+             "kg_relation_to_text(a)": S.relation_to_text(F.col("a")), "kg_subgraph_id(rs)": S.subgraph_id(F.col("rs"))}
+    both = table.select("i", "a", "b", "rs", *[F.struct(F.expr(k).alias("sql"), c.alias("col")).alias(k.split("(")[0]) for k, c in pairs.items()])
+    for r in both.collect():
+        for k in pairs:
+            k = k.split("(")[0]
+            assert r[k]["sql"] == r[k]["col"], (k, r["a"], r["b"], r["rs"], r[k])
