@@ -57,6 +57,19 @@ def keyword_dictionary_match(questions: DataFrame, entries: dict[str, str]) -> D
     return questions.select("qid", F.explode(dictionary_hits(F.col("question"), entries)).alias("entity"))
 
 
+def dictionary_table_match(questions: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(qid, entity)``: as ``keyword_dictionary_match``, with a table ``entries(key, entity)`` of any size.
+
+    Lower-cased texts and keys meet in a gram index, probed with each key's rarest gram; the plan does not grow with the dictionary. Equal texts
+    are read once. Null texts, keys and entities give nothing; an empty key occurs in every text.
+    """
+    low = questions.select("qid", F.lower("question").alias("low")).filter("low is not null")
+    texts = low.select("low").distinct()
+    known = entries.select("key", "entity").filter("key is not null and entity is not null").distinct()
+    found = cut_lineage(containment_pairs(texts, known, [], "low", "key").select("low", "entity").distinct())
+    return low.join(found, "low").select("qid", "entity").distinct()
+
+
 def vocab_candidates(vocab: DataFrame, token: str = "token") -> DataFrame:
     """Drop specials, bracketed tokens and relation names from a vocabulary."""
     t = F.col(token)

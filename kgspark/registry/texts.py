@@ -240,8 +240,11 @@ def _(s, d):
     return E.extract_entities(all_texts(s, d))
 
 
+_FAST = f"select distinct qid, unnest(list_concat({_dict(C.DEMONYMS_FAST)}, {_dict(C.COMMON_NAMES)}, {_nostop(_CAP, C.STOP_WORDS_FAST)}, {_nostop(_POSS, C.STOP_WORDS_FAST)}, {_YEARS})) entity from b"
+
+
 @query("extract_entities_fast", f"""{ALL_TEXT}, b as (select qid, text, {_P} pt from src)
-  select distinct qid, unnest(list_concat({_dict(C.DEMONYMS_FAST)}, {_dict(C.COMMON_NAMES)}, {_nostop(_CAP, C.STOP_WORDS_FAST)}, {_nostop(_POSS, C.STOP_WORDS_FAST)}, {_YEARS})) entity from b""")
+  {_FAST}""")
 def _(s, d):
     return E.extract_entities_fast(all_texts(s, d))
 
@@ -270,11 +273,28 @@ def _(s, d):
     return M.phrase_lookup(docs(s, d), vocab(s, d))
 
 
+@query("extract_entities_fast_vocabulary", f"""{ALL_TEXT}, b as (select qid, text, {_P} pt from src), r as ({_FAST}), {VOCAB}, {_CAND}, w as (select qid, {words_sql('lower(text)')} w from src),
+  ph as (select qid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) low from w union select qid, unnest(list_filter(w, lambda x: len(x) > 2 and not list_contains({lits(C.STOP_WORDS_FAST)}, x))) from w)
+  select r.qid, coalesce(cand.entity, r.entity) entity from r left join cand on low = lower(r.entity) union select qid, cand.entity from ph join cand using (low)""")
+def _(s, d):
+    return E.extract_entities_fast(all_texts(s, d), vocab(s, d))
+
+
 @query("keyword_dictionary_match", f"{ALL_TEXT} select distinct qid, unnest({_dict(C.DEMONYMS)}) entity from src")
 def _(s, d):
     return M.keyword_dictionary_match(all_texts(s, d), C.DEMONYMS)
 
 
+_PAIRS = "dictionary as (select distinct lower(token) as key, token entity from vocab where contains(token, ' '))"
+
+
+@query("dictionary_table_match", f"with {VOCAB}, {_PAIRS}, t as (select doc_id qid, lower(text) low from documents) select distinct qid, entity from t join dictionary on contains(low, key)")
+def _(s, d):
+    """The word pairs of the benchmark as a dictionary of names."""
+    names = vocab(s, d).filter(F.contains("token", F.lit(" "))).select(F.lower("token").alias("key"), F.col("token").alias("entity"))
+    return M.dictionary_table_match(docs(s, d), names)
+
+
 def fuzzy_sql(asked, threshold=80):
     """CTEs from ``asked(qid, entity)`` to ``matched(entity, match, score)``; the common subsequence as rows of the textbook table."""
     return f"""recursive {VOCAB}, {asked}, ent as (select token entry, {ascii_sql('token')} norm from vocab

@@ -83,3 +83,17 @@ def test_fuzzy_match_equals_all_pairs_and_a_common_word_makes_few_rows(spark):
         best = min(((-200.0 * slow_common(a, e) / (len(a) + len(e)), e) for e in near), default=(0, a))
         want = (best[1], -best[0]) if -best[0] >= 80 else (a, None)
         assert got[a][0] == want[0] and (got[a][1] is None) == (want[1] is None), a
+
+
+def test_dictionary_table_equals_a_search_per_entry(spark):
+    rng = random.Random(4)
+    words = ["ab", "a", "New York", "york", "é", "", "x y", "Ab", "zebra", "%", "w w"] + ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    texts = [None, "", "A", "new york is aB", "ÉÉ x  y", "w w w"] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    texts += [texts[3]] * 2
+    entries = [(w.lower(), f"e{i % 50}") for i, w in enumerate(words)] + [(None, "n"), ("ab", None)] + [("w w", "e1")] * 3
+    got = sorted((r["qid"], r["entity"]) for r in M.dictionary_table_match(
+        spark.createDataFrame(list(enumerate(texts)), "qid long, question string"), spark.createDataFrame(entries, "key string, entity string")).collect())
+    want = sorted({(i, e) for i, t in enumerate(texts) if t is not None for k, e in entries if k is not None and e is not None and k in t.lower()})
+    assert got == want
+    none = spark.createDataFrame([], "key string, entity string")
+    assert M.dictionary_table_match(spark.createDataFrame([(1, "a")], "qid long, question string"), none).count() == 0
