@@ -398,6 +398,19 @@ def _(s, d):
     return big(J.hybrid_search(bm, J.dense_search(q, vectors(s, d, "path_id"), 20), 10))
 
 
+@query("hybrid_search_minmax", f"""with {_BM}, {_DOT}, b as (select * from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 20),
+  e as (select * from (select *, row_number() over (partition by qid order by score desc, path_id) k from dn) x where k <= 20 and qid in (select item_id from benchmark)),
+  u as (select qid, path_id, 0.3 * case when hi - lo < 1e-9 then 1 else (score - lo) / (hi - lo) end s from (select *, min(score) over (partition by qid) lo, max(score) over (partition by qid) hi from b) x
+    union all select qid, path_id, 0.7 * case when hi - lo < 1e-9 then 1 else (score - lo) / (hi - lo) end from (select *, min(score) over (partition by qid) lo, max(score) over (partition by qid) hi from e) y),
+  f as (select qid, path_id, round(sum(s), 9) s from u group by 1, 2)
+  select qid, r as rank, path_id, s as score from (select *, row_number() over (partition by qid order by s desc, path_id) r from f) z where r <= 10""")
+def _(s, d):
+    bm = bm25_docs(s, d, 20)
+    q = vectors(s, d, "qid").join(doc_questions(s, d).select("qid"), "qid", "left_semi")
+    found = J.hybrid_search(bm, J.dense_search(q, vectors(s, d, "path_id"), 20), 10, "minmax", 0.7)
+    return big(found.withColumn("score", F.round("score", 9)))
+
+
 @query("small_corpus_bypass", sql("chains", body="select o_orderkey qid, path_id + 1 as rank, path_id from orders, chains"))
 def _(s, d):
     corpus = K.ranked(s, d).select("path_id", "path").distinct()
@@ -409,9 +422,9 @@ def _(s, d):
     return big(J.retrieve_filter_topk(K.ranked(s, d), 2, 0.2, [K.TO_SUPPLIER]).select("qid", "rank", "path_id"))
 
 
-@query("hyde_search", f"with {_BM.replace('from benchmark', 'from (select item_id, text || chr(32) || chr(69) || chr(120) || chr(112) || text as text from benchmark) bb')} select qid, k as rank, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 5")
+@query("hyde_search", f"with {_BM.replace('from benchmark', 'from (select item_id, text || chr(32) || \'Expected Path: \' || text as text from benchmark) bb')} select qid, k as rank, path_id from (select *, row_number() over (partition by qid order by score desc, path_id) k from bm) x where k <= 5")
 def _(s, d):
-    q = doc_questions(s, d).withColumn("question", F.concat("question", F.lit(" Exp"), F.col("question")))
+    q = doc_questions(s, d).withColumn("question", J.hyde_text(F.col("question"), F.col("question")))
     return big(J.bm25_search(q, J.bm25_index(doc_corpus(s, d), "split"), 5, "split").select("qid", "rank", "path_id"))
 
 
