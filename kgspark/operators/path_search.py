@@ -7,11 +7,14 @@ compares their places in a breadth-first queue, so "first arrival" is a plain ``
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import bucketed, cut_lineage
+from ..session import cut_lineage
+from .adjacency import PAGE_ROWS, Adjacency, incoming, outgoing
 from .entity_match import match_entities, resolve_entity
 from .numbering import first_per, positions, top_per
 
@@ -31,11 +34,6 @@ def _reach(targets: DataFrame, edges: DataFrame, levels: int, keys: tuple[str, .
     return seen
 
 
-def _by_node(edges: DataFrame) -> DataFrame:
-    """Edges laid out by (gid, node) once, so that every level moves only its own states to them."""
-    return bucketed(edges, "gid", "node")
-
-
 def _near(live: DataFrame, reach: DataFrame, left: int, levels: int, keys: tuple[str, ...] = ("qid", "gid")) -> DataFrame:
     """Drop states from which no target lies within the ``left`` remaining hops (where ``reach`` goes that far)."""
     if left > levels:
@@ -43,29 +41,37 @@ def _near(live: DataFrame, reach: DataFrame, left: int, levels: int, keys: tuple
     return live.join(reach.filter(F.col("dist") <= left).select(*keys, "node"), [*keys, "node"], "left_semi")
 
 
-def enumerate_simple_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_depth: int = 3,
-                           prune_levels: int | None = None) -> DataFrame:
+def enumerate_simple_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_depth: int = 3, page_rows: int = PAGE_ROWS) -> DataFrame:
     """All directed paths without repeated entity, of 1 to ``max_depth`` hops, from any start to any target.
 
-    ``starts``/``targets`` are ``(qid, gid, entity)``. The search goes on through targets. States that cannot reach a
-    target any more are dropped at every level, which keeps hubs from multiplying dead ends.
+    ``starts``/``targets`` are ``(qid, gid, entity)``. The paths go on through targets. Halves grow from both ends and meet: a path
+    longer than the first halves is cut at exactly one node. Which end grows next is chosen by the rows it would make, told
+    from the nodes' degrees, so a hub at one end is met from the other.
     """
-    edges = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"))
-    levels = max_depth - 1 if prune_levels is None else prune_levels
-    reach = _reach(targets, edges, levels)
-    edges = _by_node(edges)
-    goal = targets.select("qid", "gid", F.col("entity").alias("node")).distinct()
-    live = starts.select("qid", "gid", F.col("entity").alias("node")).distinct().withColumn(
-        "entities", F.array("node")).withColumn("relations", F.array().cast("array<string>"))
-    found = None
-    for depth in range(1, max_depth + 1):
-        live = live.join(edges, ["gid", "node"]).filter(~F.array_contains("entities", F.col("next"))).select(
-            "qid", "gid", F.col("next").alias("node"), F.array_append("entities", F.col("next")).alias("entities"),
-            F.array_append("relations", F.col("rel")).alias("relations"))
-        live = cut_lineage(_near(live, reach, max_depth - depth, levels))
-        hit = live.join(goal, ["qid", "gid", "node"], "left_semi").select("qid", "entities", "relations")
-        found = hit if found is None else found.unionByName(hit)
-    return found.distinct()  # a triple listed twice is one step
+    return _simple_paths(starts, targets, Adjacency(outgoing(triples), page_rows), Adjacency(incoming(triples), page_rows), max_depth)
+
+
+def _simple_paths(starts: DataFrame, targets: DataFrame, out: Adjacency, into: Adjacency, max_depth: int) -> DataFrame:
+    ends = [df.select("qid", "gid", F.col("entity").alias("node")).distinct() for df in (starts, targets)]
+    both = ends[0].select("qid", "gid").intersect(ends[1].select("qid", "gid"))
+    first = [cut_lineage(e.join(both, ["qid", "gid"], "left_semi").withColumn("entities", F.array("node")).withColumn(
+        "relations", F.array().cast("array<string>"))) for e in ends]
+    halves, sides, add = [[first[0]], [first[1]]], [out, into], [F.array_append, F.array_prepend]
+    cost = [side.rows_after(half) for side, half in zip(sides, first)]
+    for _ in range(max_depth):
+        i = 0 if cost[0] <= cost[1] else 1
+        step = sides[i].step(halves[i][-1]).filter(~F.array_contains("entities", F.col("next"))).select(
+            "qid", "gid", F.col("next").alias("node"), add[i]("entities", F.col("next")).alias("entities"), add[i]("relations", F.col("rel")).alias("relations"))
+        halves[i].append(cut_lineage(step))
+        cost[i] = sides[i].rows_after(halves[i][-1])
+    ahead, back = halves
+    front = ahead[-1].select("qid", "gid", "node", F.col("entities").alias("e"), F.col("relations").alias("r"))
+    rest = reduce(DataFrame.unionByName, back if len(ahead) > 1 else back[1:])
+    tail = F.slice("entities", F.lit(2), F.size("entities"))
+    met = front.join(rest, ["qid", "gid", "node"]).filter(~F.arrays_overlap("e", tail)).select(
+        "qid", F.concat("e", tail).alias("entities"), F.concat("r", "relations").alias("relations"))
+    short = [half.join(first[1], ["qid", "gid", "node"], "left_semi").select("qid", "entities", "relations") for half in ahead[1:-1]]
+    return reduce(DataFrame.unionByName, short, met).distinct()  # a triple listed twice is one step
 
 
 def label_reasoning_paths(names_q: DataFrame, names_a: DataFrame, triples: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -73,8 +79,9 @@ def label_reasoning_paths(names_q: DataFrame, names_a: DataFrame, triples: DataF
     turned and flagged. → ``(qid, direction, entities, relations, path_string, relation_chain, path_length)``"""
     q = cut_lineage(match_entities(names_q, triples).select("qid", "gid", F.col("match").alias("entity")).distinct())
     a = cut_lineage(match_entities(names_a, triples).select("qid", "gid", F.col("match").alias("entity")).distinct())
-    ahead = enumerate_simple_paths(q, a, triples, max_depth).withColumn("direction", F.lit("forward"))
-    back = enumerate_simple_paths(a, q, triples, max_depth).select(
+    out, into = Adjacency(outgoing(triples)), Adjacency(incoming(triples))
+    ahead = _simple_paths(q, a, out, into, max_depth).withColumn("direction", F.lit("forward"))
+    back = _simple_paths(a, q, out, into, max_depth).select(
         "qid", F.reverse("entities").alias("entities"), F.reverse("relations").alias("relations"),
         F.lit("reversed").alias("direction"))
     e, r = F.col("entities"), F.col("relations")
@@ -83,37 +90,52 @@ def label_reasoning_paths(names_q: DataFrame, names_a: DataFrame, triples: DataF
 
 
 def bfs_paths_undirected(starts: DataFrame, targets: DataFrame, triples: DataFrame, max_hops: int = 4, enough: int | None = None,
-                         prune_levels: int = 1) -> DataFrame:
+                         page_rows: int = PAGE_ROWS) -> DataFrame:
     """Paths that use edges in both directions; an (entity, depth) state is entered once per start, by the first arrival.
 
     ``starts(qid, gid, pos, entity)``, ``targets(qid, gid, entity)`` →
     ``(qid, pos, depth, steps, entities, relations, forward)``. The list of a question ends once it holds ``enough`` paths
     and every target has been seen; ``None`` switches that off.
+
+    The first arrival is the least list of steps, and of lists that pass the same node at the same depth the least has the least list
+    up to the node and the least one after it. So half of the hops are made from the starts, half from the targets (once for all
+    questions that share a target of a graph), each half keeping one row per node and depth, and the halves meet.
     """
-    fwd = triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"), F.lit(0).alias("dir"), "triple_idx")
-    bwd = triples.select("gid", F.col("obj").alias("node"), "rel", F.col("subj").alias("next"), F.lit(1).alias("dir"), "triple_idx")
-    edges = _by_node(fwd.unionByName(bwd))
-    goal = targets.select("qid", "gid", F.col("entity").alias("node")).distinct()
-    levels = min(prune_levels, max_hops - 1)
-    reach = _reach(targets, edges, levels)
+    fwd = outgoing(triples, "triple_idx").withColumn("dir", F.lit(0))
+    edges = Adjacency(fwd.unionByName(incoming(triples, "triple_idx").withColumn("dir", F.lit(1))), page_rows)
+    goal = cut_lineage(targets.select("qid", "gid", F.col("entity").alias("target")).distinct())
+    at = lambda direction: F.struct(direction.alias("dir"), F.col("triple_idx").cast("int").alias("idx"))
+    begin = [F.array().cast(_NO_STEPS).alias("steps"), F.array("node").alias("entities"), F.array().cast("array<string>").alias("relations")]
     # a repeated start brings nothing new; questions without targets have nothing to find
     live = first_per(starts.select("qid", "gid", "pos", "entity"), ["qid", "gid", "entity"], ["pos"]).join(
-        goal.select("qid").distinct(), "qid", "left_semi").select(
-        "qid", "gid", "pos", F.col("entity").alias("node"), F.array().cast(_NO_STEPS).alias("steps"), F.array("entity").alias("entities"),
-        F.array().cast("array<string>").alias("relations"))
-    found = None
-    for depth in range(1, max_hops + 1):
-        step = live.join(edges, ["gid", "node"]).select(
-            "qid", "gid", "pos", F.col("next").alias("node"),
-            F.array_append("steps", F.struct(F.col("dir"), F.col("triple_idx").cast("int").alias("idx"))).alias("steps"),
+        goal.select("qid").distinct(), "qid", "left_semi").select("qid", "gid", "pos", F.col("entity").alias("node")).select("*", *begin)
+    ahead = []
+    for _ in range((max_hops + 1) // 2):
+        step = edges.step(live).select(
+            "qid", "gid", "pos", F.col("next").alias("node"), F.array_append("steps", at(F.col("dir"))).alias("steps"),
             F.array_append("entities", F.col("next")).alias("entities"), F.array_append("relations", F.col("rel")).alias("relations"))
-        step = _near(step, reach, max_hops - depth, levels)
         live = cut_lineage(first_per(step, ["qid", "gid", "pos", "node"], ["steps"]))
-        hit = live.join(goal, ["qid", "gid", "node"], "left_semi").select(
-            "qid", "pos", F.lit(depth).alias("depth"), "steps", "entities", "relations")
-        found = hit if found is None else found.unionByName(hit)
+        ahead.append(live)
+    live = goal.select("gid", "target", F.col("target").alias("node")).distinct().select("*", *begin)
+    back = []
+    for _ in range(max_hops // 2):
+        step = edges.step(live).select(  # an edge seen from its far end is walked the other way
+            "gid", "target", F.col("next").alias("node"), F.array_prepend("steps", at(1 - F.col("dir"))).alias("steps"),
+            F.array_prepend("entities", F.col("next")).alias("entities"), F.array_prepend("relations", F.col("rel")).alias("relations"))
+        live = cut_lineage(first_per(step, ["gid", "target", "node"], ["steps"]))
+        back.append(live)
+    kept = ["qid", "pos", "depth", "steps", "entities", "relations"]
+    near = goal.withColumnRenamed("target", "node")
+    found = reduce(DataFrame.unionByName, [half.join(near, ["qid", "gid", "node"], "left_semi").withColumn("depth", F.lit(d)).select(*kept) for d, half in enumerate(ahead, 1)])
+    if back:
+        front = ahead[-1].select("qid", "gid", "pos", "node", F.col("steps").alias("s"), F.col("entities").alias("e"), F.col("relations").alias("r")).join(goal, ["qid", "gid"])
+        rest = reduce(DataFrame.unionByName, [half.withColumn("depth", F.lit(len(ahead) + d)) for d, half in enumerate(back, 1)])
+        met = front.join(rest, ["gid", "target", "node"]).select(
+            "qid", "gid", "pos", "target", "depth", F.concat("s", "steps").alias("steps"),
+            F.concat("e", F.slice("entities", F.lit(2), F.size("entities"))).alias("entities"), F.concat("r", "relations").alias("relations"))
+        found = found.unionByName(first_per(met, ["qid", "gid", "pos", "target", "depth"], ["steps"]).select(*kept))
     if enough is not None:
-        found = _stop_when_complete(found, goal, enough)
+        found = _stop_when_complete(cut_lineage(found), near, enough)
     return found.withColumn("forward", F.transform("steps", lambda s: s["dir"] == 0))
 
 
@@ -159,15 +181,16 @@ def connecting_paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 3, m
     else:
         s = pairs.withColumn("node", F.col("start"))
         t = pairs.select("gid", "end", F.col("end").alias("entity")).distinct()
-    edges = _by_node(triples.select("gid", F.col("subj").alias("node"), "rel", F.col("obj").alias("next"), "triple_idx"))
+    edges = outgoing(triples, "triple_idx")
     own, ends, levels = ["qid", "gid", "start", "end"], ("gid", "end"), max_depth - 1
     reach = _reach(t, edges, levels, ends)
+    edges = Adjacency(edges)
     goal = t.select("gid", "end", F.col("entity").alias("node"))
     live = s.distinct().withColumn("entities", F.array("node")).withColumn("relations", F.array().cast("array<string>")).withColumn(
         "steps", F.array().cast("array<int>"))
     found = None
     for depth in range(1, max_depth + 1):
-        step = live.join(edges, ["gid", "node"]).select(
+        step = edges.step(live).select(
             *own, F.col("next").alias("node"), F.array_append("entities", F.col("next")).alias("entities"),
             F.array_append("relations", F.col("rel")).alias("relations"),
             F.array_append("steps", F.col("triple_idx").cast("int")).alias("steps"))
@@ -190,7 +213,7 @@ def all_shortest_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame
     """
     edges = first_per(triples.select("gid", "subj", "obj", "rel", "triple_idx"), ["gid", "subj", "obj"], ["triple_idx"]).select(
         "gid", F.col("subj").alias("node"), F.col("obj").alias("next"), "rel")
-    edges = _by_node(edges)
+    ways = Adjacency(edges)
     nodes = triples.select("gid", F.explode(F.array("subj", "obj")).alias("entity")).distinct()
     present = lambda df: df.select("qid", "gid", "entity").distinct().join(nodes, ["gid", "entity"], "left_semi")
     s, t = present(starts), present(targets)
@@ -202,7 +225,7 @@ def all_shortest_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame
     depth = 0
     while max_hops is None or depth < max_hops:
         depth += 1
-        ring = ring.join(edges.select("gid", "node", "next"), ["gid", "node"]).select(
+        ring = ways.step(ring).select(
             "qid", "gid", "source", F.col("next").alias("node")).distinct().join(dist.select(*keys), keys, "left_anti")
         ring = cut_lineage(ring)
         if max_hops is None and ring.isEmpty():
@@ -212,6 +235,7 @@ def all_shortest_paths(starts: DataFrame, targets: DataFrame, triples: DataFrame
     back = t.select("qid", "gid", F.col("entity").alias("node")).join(dist, ["qid", "gid", "node"]).select(
         "qid", "gid", "source", "node", "dist", F.array("node").alias("entities"), F.array().cast("array<string>").alias("relations"))
     found = back.filter(F.col("dist") == 0).select("qid", "entities", "relations")
+    edges = ways.pages
     into = edges.select("gid", F.col("next").alias("node"), F.col("node").alias("prev"), "rel")
     for d in range(len(rings) - 1, 0, -1):
         at = back.filter(F.col("dist") == d)

@@ -213,6 +213,14 @@ def _(spark, d):
         "qid", text("entities").alias("entities"), text("relations").alias("relations"))
 
 
+@query("shared_graph_paths", _with_three("select qid, array_to_string(ents, '|') entities, array_to_string(rels, '|') relations from found"))
+def _(spark, d):
+    """As above, with all questions in one graph, in which nations and regions are hubs. What an order reaches is the same."""
+    q, a = (e.withColumn("gid", F.lit(0).cast("bigint")) for e in own_ends(spark, d))
+    return P.enumerate_simple_paths(q, a, K.triples(spark, d), 3, page_rows=1000).select(
+        "qid", text("entities").alias("entities"), text("relations").alias("relations"))
+
+
 @query("label_reasoning_paths", _with_three("""select qid, 'forward' direction, '(' || ents[1] || ') --[' || rels[1] || ']--> (' || ents[2] || ') | (' || ents[2] || ') --[' || rels[2] || ']--> (' || ents[3]
   || ') | (' || ents[3] || ') --[' || rels[3] || ']--> (' || ents[4] || ')' path_string, array_to_string(rels, ' -> ') relation_chain, cast(len(rels) as integer) path_length from found"""))
 def _(spark, d):

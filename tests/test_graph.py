@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import entity_match as M
 from kgspark.operators import path_search as P
 from kgspark.operators import traversal as T
+from kgspark.operators.adjacency import Adjacency
 
 TRIPLES = "gid bigint, subj string, rel string, obj string, triple_idx int"
 ENT = "qid bigint, gid bigint, pos int, entity string"
@@ -33,25 +34,56 @@ def collect(df, *cols):
     return sorted(tuple(tuple(v) if isinstance(v, list) else v for v in row) for row in df.select(*cols).collect())
 
 
-def test_simple_paths(world):
+@pytest.mark.parametrize("depth, page_rows", [(1, 100), (2, 2), (3, 100), (4, 2)])
+def test_simple_paths(world, depth, page_rows):
     graphs, triples, starts, targets = world
     want = set()
     for g, edges in graphs.items():
         def walk(nodes, rels):
             if len(rels) > 0 and nodes[-1] in ("n2", "n3"):
                 want.add((g, tuple(nodes), tuple(rels)))
-            if len(rels) < 3:
+            if len(rels) < depth:
                 for s, r, o in edges:
                     if s == nodes[-1] and o not in nodes:
                         walk(nodes + [o], rels + [r])
         for s in ("n0", "n1"):
             walk([s], [])
-    got = collect(P.enumerate_simple_paths(starts, targets, triples, 3), "qid", "entities", "relations")
+    got = collect(P.enumerate_simple_paths(starts, targets, triples, depth, page_rows), "qid", "entities", "relations")
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("enough", [None, 3])
-def test_undirected_search_keeps_queue_order(world, enough):
+@pytest.mark.parametrize("hub_first", [True, False])
+def test_a_hub_is_met_from_the_other_end(spark, hub_first):
+    star = [("hub", "r", f"x{i}") if hub_first else (f"x{i}", "r", "hub") for i in range(50)]
+    tail = [("x7", "s", "y"), ("y", "s", "end")] if hub_first else [("end", "s", "y"), ("y", "s", "x7")]
+    t = spark.createDataFrame([(1, *e, i) for i, e in enumerate(star + tail)], TRIPLES)
+    s, e = ((spark.createDataFrame([(1, 1, 1, n)], ENT)) for n in (("hub", "end") if hub_first else ("end", "hub")))
+    want = [("hub", "x7", "y", "end"), ("r", "s", "s")] if hub_first else [("end", "y", "x7", "hub"), ("s", "s", "r")]
+    assert collect(P.enumerate_simple_paths(s, e, t, 3, page_rows=7), "entities", "relations") == [tuple(want)]
+    assert collect(P.bfs_paths_undirected(s, e, t, 3, page_rows=7), "entities", "relations") == [tuple(want)]
+
+
+def test_pages_bound_the_edges_of_a_hub_and_lose_none(spark):
+    edges = spark.range(3000).selectExpr("1L gid", "if(id % 3 = 0, 'hub', concat('n', id)) node", "'r' rel", "id next")
+    adj = Adjacency(edges, 100)
+    sizes = {(r["node"], r["page"]): r["count"] for r in adj.pages.groupBy("node", "page").count().collect()}
+    assert max(sizes.values()) < 200 and sum(n == "hub" for n, _ in sizes) == 10
+    live = spark.createDataFrame([(1, "hub"), (1, "n1"), (1, "none")], "gid bigint, node string")
+    assert adj.step(live).count() == adj.rows_after(live) == 1001
+    assert adj.step(live).select("next").distinct().count() == 1001
+
+
+def test_path_search_of_empty_tables_and_null_ends(spark):
+    t = spark.createDataFrame([(1, "a", "r", None, 0), (1, None, "r", "b", 1), (1, "a", "r", "b", 2)], TRIPLES)
+    s, e = (spark.createDataFrame([(1, 1, 1, n), (1, 1, 2, None)], ENT) for n in "ab")
+    assert collect(P.enumerate_simple_paths(s, e, t), "entities") == [(("a", "b"),)]
+    assert collect(P.bfs_paths_undirected(s, e, t, 1), "entities") == [(("a", "b"),)]
+    for args in ((s.limit(0), e, t), (s, e.limit(0), t), (s, e, t.limit(0))):
+        assert P.enumerate_simple_paths(*args).isEmpty() and P.bfs_paths_undirected(*args).isEmpty()
+
+
+@pytest.mark.parametrize("enough, hops", [(None, 4), (3, 4), (None, 1), (None, 3)])
+def test_undirected_search_keeps_queue_order(world, enough, hops):
     graphs, triples, starts, targets = world
     want = []
     for g, edges in graphs.items():
@@ -63,14 +95,14 @@ def test_undirected_search_keeps_queue_order(world, enough):
                 if nodes[-1] in goal and rels:
                     found.add(nodes[-1])
                     paths.append((g, tuple(nodes), tuple(r for r, _ in rels), tuple(d for _, d in rels)))
-                if len(rels) < 4:
+                if len(rels) < hops:
                     steps = [(r, o, True) for a, r, o in edges if a == nodes[-1]] + [(r, a, False) for a, r, o in edges if o == nodes[-1]]
                     for r, n, d in steps:
                         if (n, len(rels) + 1) not in seen:
                             seen.add((n, len(rels) + 1))
                             queue.append((nodes + [n], rels + [(r, d)]))
         want += paths
-    got = P.bfs_paths_undirected(starts, targets, triples, 4, enough)
+    got = P.bfs_paths_undirected(starts, targets, triples, hops, enough)
     assert collect(got, "qid", "entities", "relations", "forward") == sorted(want)
 
 
