@@ -150,12 +150,24 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Words(dict):
+    """Words and their places; a word looked up for the first time is noted in ``fresh`` and has its number there, negative and from -1, until it is learnt."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = place = -len(self.fresh)
+        return place
+
+
 class Lexicon:
     """What a worker needs to encode: the vocabulary, the file of the automaton, and the ids of its words end to end."""
 
     def __init__(self, vocabulary: Vocabulary, file: str, ids: np.ndarray, sizes: np.ndarray):
         self.vocabulary, self.file, self.ids, self.sizes = vocabulary, file, ids, sizes
-        self.words: dict[str, int] = {}
+        self.words = Words()
 
     def __getstate__(self):
         return self.vocabulary, self.file, self.ids, self.sizes
@@ -171,21 +183,24 @@ class Lexicon:
             self.piece_bytes = np.frombuffer(b"".join(self.vocabulary.pieces), np.uint8)
             self.piece_first = np.cumsum(self.piece_sizes) - self.piece_sizes
             self.split = re.compile("|".join(map(re.escape, sorted(self.vocabulary.added, key=len, reverse=True)))) if self.vocabulary.added else None
-        self.words, self.chars = {}, 0
+        self.words, self.chars = Words(), 0
         self.flat, self.used = np.concatenate([self.ids, np.zeros(4 * RECENT, np.uint32)]), len(self.ids)
         self.first, self.count = (np.zeros(len(self.sizes) + RECENT, np.int64) for _ in range(2))
         self.entries = len(self.sizes)
         self.count[: self.entries] = self.sizes
         self.first[: self.entries] = np.cumsum(self.sizes) - self.sizes
 
-    def _learn(self, new: list[str]) -> None:
-        """Give each new word an entry: its lexicon entry if it has one, else one of its own, merged now."""
+    def _learn(self) -> np.ndarray:
+        """Give each fresh word an entry: its lexicon entry if it has one, else one of its own, merged now. → their places"""
+        new, self.words.fresh = self.words.fresh, []
         raw = [w.encode() for w in new]
         self.chars += sum(map(len, new))
-        for word, b, place in zip(new, raw, self.automaton.places(raw).tolist()):
+        places = self.automaton.places(raw).tolist()
+        for i, place in enumerate(places):
             if place < 0:
-                place = self._enter(self.vocabulary.merge(b))
-            self.words[word] = place
+                places[i] = self._enter(self.vocabulary.merge(raw[i]))
+        self.words.update(zip(new, places))
+        return np.array(places, np.int64)
 
     def _enter(self, ids: list[int]) -> int:
         if self.used + len(ids) > len(self.flat):
@@ -214,13 +229,14 @@ class Lexicon:
                     self.words |= {"\0" + t: self._enter([i]) for t, i in added.items()}
             else:
                 split.append(words_of(text))
-        new = {w for words in split for w in words if w not in self.words}
-        self._learn(list(new))
-        out = []
-        for words in split:
-            places = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            out.append(_gather(self.flat, self.first[places], self.count[places]))
-        return out
+        # one look at every word: those that are fresh get their places afterwards
+        found = [np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in split]
+        if self.words.fresh:
+            learnt = self._learn()
+            for places in found:
+                fresh = places < 0
+                places[fresh] = learnt[-1 - places[fresh]]
+        return [_gather(self.flat, self.first[places], self.count[places]) for places in found]
 
     def decode(self, ids: np.ndarray) -> str:
         if not hasattr(self, "automaton"):

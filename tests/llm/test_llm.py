@@ -422,3 +422,12 @@ def test_pipeline_stages_keep_the_columns(spark, texts):
     assert len(ids) == docs.count() and all(r["decoded_sha256"] for r in ids)
     text = Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in docs.collect())
     assert text == Counter(r["decoded_sha256"] for r in ids)
+
+
+def test_encoder_looks_at_every_word_once():
+    from kgspark.llm.bpe import Words
+
+    words = Words()
+    assert list(map(words.__getitem__, ["a", "b", "a"])) == [-1, -2, -1] and words.fresh == ["a", "b"]
+    words.fresh, words["a"] = [], 7
+    assert words["a"] == 7 and words["c"] == -1 and words.fresh == ["c"]
