@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import beside
 from .numbering import first_per
 
 KS = [1, 3, 5, 10, 20, 50, 100]
@@ -154,7 +155,7 @@ def candidate_recall(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """Share of questions with an answer whose normal form is among the candidates ``(qid, entity)``."""
     n = S.norm_answer(F.col("entity"))
     c = candidates.select("qid", n.alias("key")).distinct().withColumn("ok", F.lit(1.0))
-    per = answers.select("qid", n.alias("key")).distinct().join(c, ["qid", "key"], "left").groupBy("qid").agg(F.max(F.coalesce("ok", F.lit(0.0))).alias("ok"))
+    per = answers.select("qid", n.alias("key")).distinct().join(beside(c), ["qid", "key"], "left").groupBy("qid").agg(F.max(F.coalesce("ok", F.lit(0.0))).alias("ok"))
     return per.agg(F.round(F.avg("ok"), 6).alias("candidate_recall"))
 
 
@@ -223,9 +224,9 @@ def retrieval_diagnosis(ranked: DataFrame, gold: DataFrame, ks: tuple[int, int]
 def extraction_coverage(per_path: DataFrame, ranked: DataFrame, answers: DataFrame) -> DataFrame:
     """``per_path(qid, rank, entity)`` found along ``ranked(qid, rank)``: paths with entities, questions with an answer found."""
     got = per_path.select("qid", "rank").distinct().withColumn("ok", F.lit(1))
-    paths = ranked.select("qid", "rank").join(got, ["qid", "rank"], "left").agg(
+    paths = ranked.select("qid", "rank").join(beside(got), ["qid", "rank"], "left").agg(
         F.count(F.lit(1)).alias("paths"), F.sum(F.coalesce("ok", F.lit(0))).alias("paths_with_entities"))
     low = lambda df: df.select("qid", F.lower("entity").alias("low")).distinct()
-    found = low(answers).join(low(per_path), ["qid", "low"], "left_semi").select(F.count_distinct("qid")).scalar()
+    found = low(answers).join(beside(low(per_path)), ["qid", "low"], "left_semi").select(F.count_distinct("qid")).scalar()
     asked = answers.select(F.count_distinct("qid")).scalar()
     return paths.select("paths", "paths_with_entities", asked.alias("questions"), found.alias("questions_with_answer"))
