@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
+from ..session import beside, cut_lineage
 from .numbering import positions, top_per
 
 
@@ -88,9 +89,15 @@ def capped_vocabulary(tokens: DataFrame, order: list[str], limit: int | None, sp
     return ids.select("token", idx.cast("bigint").alias("idx"), "n")
 
 
-def encode_tokens(rows: DataFrame, vocab: DataFrame, col: str, out: str = "idx") -> DataFrame:
-    """Token → index; an unknown token gets 1. The engine broadcasts the vocabulary only when it is small."""
+def encode_tokens(rows: DataFrame, vocab: DataFrame, col: str, out: str = "idx", by: str | None = None) -> DataFrame:
+    """Token → index; an unknown token gets 1. The engine broadcasts the vocabulary only when it is small.
+
+    With ``by``, a column without nulls by which the rows lie, only its distinct tokens travel, and the rows stay where they are.
+    """
     v = vocab.select(F.col("token").alias(col), F.col("idx").alias(out))
+    if by is not None:
+        asked = rows.select(by, col).filter(F.col(col).isNotNull()).distinct().join(v, col, "left")
+        return rows.join(beside(asked), [by, col], "left").withColumn(out, F.coalesce(out, F.lit(1).cast("bigint")))
     return rows.join(v, col, "left").withColumn(out, F.coalesce(out, F.lit(1).cast("bigint")))
 
 

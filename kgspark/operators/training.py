@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
+from ..session import beside, bucketed
 from .numbering import first_per, top_per
 
 # Primes; one that does not divide the corpus size is a step that visits every path once.
@@ -167,15 +168,16 @@ def encode_paths(paths: DataFrame, entity_vocab: DataFrame, relation_vocab: Data
     p = diverse_paths(paths, order, max_paths).select("qid", "no", F.slice("entities", 1, max_len).alias("e"), "relations")
     want = F.greatest(F.size("e") - 1, F.lit(0))
     rel = F.slice("relations", F.lit(1), F.least(F.lit(max_len - 1), want))
-    p = p.withColumn("r", rel).withColumn("missing", F.greatest(want - F.size("r"), F.lit(0)))
+    p = p.withColumn("r", rel).withColumn("missing", F.greatest(want - F.size("r"), F.lit(0))).drop("relations")
+    p = bucketed(p, "qid", placed=True)  # read for each vocabulary and for the rows
 
     def ids(col: str, vocab: DataFrame, out: str) -> DataFrame:
-        rows = encode_tokens(p.select("qid", "no", F.posexplode(col).alias("pos", "token")), vocab, "token")
+        rows = encode_tokens(p.select("qid", "no", F.posexplode(col).alias("pos", "token")), vocab, "token", by="qid")
         return rows.groupBy("qid", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"]).alias(out))
 
     big = lambda n: F.lit(n).cast("bigint")
     none = F.array().cast("array<bigint>")
-    rows = p.select("qid", "no", "missing").join(ids("e", entity_vocab, "ei"), ["qid", "no"], "left").join(ids("r", relation_vocab, "ri"), ["qid", "no"], "left")
+    rows = p.select("qid", "no", "missing").join(beside(ids("e", entity_vocab, "ei")), ["qid", "no"], "left").join(beside(ids("r", relation_vocab, "ri")), ["qid", "no"], "left")
     bos, eos = C.ENTITY_SPECIALS.index("<BOS>"), C.ENTITY_SPECIALS.index("<EOS>")
     ent = F.concat(F.array(big(bos)), F.coalesce("ei", none), F.array(big(eos)))
     pad = lambda xs, n: F.slice(F.concat(xs, F.array_repeat(big(0), n)), 1, n)
