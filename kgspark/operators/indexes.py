@@ -128,7 +128,8 @@ def subgraph_patterns(paths: DataFrame, triples: DataFrame | None = None, exampl
     triples (of the earliest paths)."""
     p = paths.filter(F.size("relations") > 0).withColumn("subgraph_id", S.subgraph_id(F.col("relations")))
     out = p.groupBy("subgraph_id").agg(F.count(F.lit(1)).alias("example_count"), F.first("relations").alias("relations"))
-    out = out.withColumn("relation_pattern", S.pattern_string(F.col("relations")))
+    # written out, so that joins know how small it is beside the paths
+    out = cut_lineage(out.withColumn("relation_pattern", S.pattern_string(F.col("relations"))))
     if triples is None:
         return out
     from .path_search import path_triples

@@ -137,14 +137,14 @@ def question_pattern_pairs(questions: DataFrame, paths: DataFrame, patterns: Dat
     """(question, pattern) per path whose pattern is indexed."""
     p = paths.filter(F.size("relations") > 0).select("qid", "path_no", "relations", S.subgraph_id(F.col("relations")).alias("subgraph_id"))
     known = p.join(patterns.select("subgraph_id"), "subgraph_id", "left_semi")
-    return questions.filter(F.coalesce("question", F.lit("")) != "").select("qid", "question").join(known, "qid")
+    return questions.filter(F.coalesce("question", F.lit("")) != "").select("qid", "question").join(beside(known), "qid")
 
 
 def reader_rows(preds: DataFrame, patterns: DataFrame, samples: DataFrame) -> DataFrame:
     """Top predicted pattern with its index entry and the answers."""
     top = first_per(preds.select("qid", "rank", "subgraph_id"), ["qid"], ["rank"])
     cols = [c for c in ("relations", "example_triples") if c in patterns.columns]
-    return top.join(patterns.select("subgraph_id", *cols), "subgraph_id").join(samples.select(F.col("id").alias("qid"), "question", "answer"), "qid").drop("rank")
+    return top.join(patterns.select("subgraph_id", *cols), "subgraph_id").join(beside(samples.select(F.col("id").alias("qid"), "question", "answer")), "qid").drop("rank")
 
 
 def resolve_patterns(preds: DataFrame, patterns: DataFrame) -> DataFrame:
