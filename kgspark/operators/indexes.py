@@ -135,7 +135,7 @@ def subgraph_patterns(paths: DataFrame, triples: DataFrame | None = None, exampl
     from .path_search import path_triples
 
     # a path contributes at least one triple per relation, so the earliest `examples` paths are enough
-    early = top_per(p.select("subgraph_id", "qid", "gid", "path_no", "entities", "relations"), ["subgraph_id"], ["qid", "path_no"], examples, "_k")
+    early = cut_lineage(top_per(p.select("subgraph_id", "qid", "gid", "path_no", "entities", "relations"), ["subgraph_id"], ["qid", "path_no"], examples, "_k"))
     steps = path_triples(early, triples).join(early.select("subgraph_id", "qid", "path_no").distinct(), ["qid", "path_no"])
     first = top_per(steps, ["subgraph_id"], ["qid", "path_no", "step"], examples, "_n")
     ex = first.groupBy("subgraph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct("subj", "rel", "obj").alias("t")))), lambda x: x["t"]).alias("example_triples"))
