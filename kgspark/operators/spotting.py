@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import questions as Q
 from ..functions import scalars as S
-from .entity_match import dictionary_hits, fuzzy_match, phrase_lookup, vocab_candidates
+from .entity_match import dictionary_hits, fuzzy_match, phrase_lookup, spellings, vocab_candidates
 
 
 def extract_entities(questions: DataFrame, vocab: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
@@ -52,6 +52,6 @@ def extract_entities_fast(questions: DataFrame, vocab: DataFrame | None = None)
     rows = questions.select("qid", F.explode(rules).alias("entity"))
     if vocab is None:
         return rows
-    spelled = vocab_candidates(vocab).groupBy(F.lower("token").alias("low")).agg(F.max("token").alias("token"))
+    spelled = spellings(vocab)
     respelled = rows.withColumn("low", F.lower("entity")).join(spelled, "low", "left").select("qid", F.coalesce("token", "entity").alias("entity"))
     return respelled.unionByName(phrase_lookup(questions, vocab)).distinct()
