@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import beside
 
 
 def _pairs(preds: DataFrame, gold: DataFrame) -> DataFrame:
@@ -88,13 +89,19 @@ def answer_bag_report(preds, gold) -> DataFrame:
 def context_recall(instantiated: DataFrame, gold: DataFrame) -> DataFrame:
     """Share of questions with gold where a concrete path ``(qid, text)`` holds a normalised gold answer.
 
-    Pairs come from the gram index of the path texts, probed with the rarest gram of each gold text.
+    A gold text is sought in the texts of its question, where they lie, until one holds it; for questions with too many such pairs, by its
+    rarest gram in an index of the texts.
     """
-    from .grams import containment_pairs
-
-    n = lambda df, c: df.select("qid", S.norm_answer(F.col(c), keep_articles=True).alias(f"n_{c}")).distinct()
-    hit = containment_pairs(n(instantiated, "text"), n(gold, "entity"), ["qid"], "n_text", "n_entity").select("qid").distinct()
-    per = gold.select("qid").distinct().join(hit.withColumn("ok", F.lit(1.0)), "qid", "left")
+    from .grams import containment_pairs, crowded, split_groups
+
+    n = lambda df, c: df.select("qid", S.norm_answer(F.col(c), keep_articles=True).alias(f"n_{c}"))
+    many = crowded(instantiated, gold, ["qid"])
+    (few_texts, many_texts), (few_names, many_names) = split_groups(n(instantiated, "text"), many, ["qid"]), split_groups(n(gold, "entity"), many, ["qid"])
+    held = (F.col("qid") == F.col("_qid")) & F.contains("n_text", F.col("n_entity"))
+    hit = few_names.join(beside(few_texts.withColumnRenamed("qid", "_qid")), held, "left_semi").select("qid")
+    if many is not None:
+        hit = hit.unionByName(containment_pairs(many_texts.distinct(), many_names.distinct(), ["qid"], "n_text", "n_entity").select("qid"))
+    per = gold.select("qid").distinct().join(beside(hit.distinct().withColumn("ok", F.lit(1.0))), "qid", "left")
     return per.agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("context_recall"))
 
 
